@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, simhash
+from . import byte_bpe, exact_dedup, simhash, toxicity
 from ._common import table
 
 
@@ -33,8 +33,13 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM n
 """
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op5_byte_bpe": op5_byte_bpe, "op9_exact_dedup": op9_exact_dedup}
+    return {"op1_simhash": op1_simhash, "op5_byte_bpe": op5_byte_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
