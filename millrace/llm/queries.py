@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, exact_dedup, simhash, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, simhash, toxicity
 from ._common import table
 
 
@@ -38,8 +38,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op5_byte_bpe": op5_byte_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op5_byte_bpe": op5_byte_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
