@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, simhash, toxicity
+from . import byte_bpe, decontaminate, exact_dedup, sharding, simhash, toxicity
 from ._common import table
 
 
@@ -42,8 +42,12 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 40)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op5_byte_bpe": op5_byte_bpe, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
