@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, decontaminate, exact_dedup, sharding, simhash, toxicity
+from . import byte_bpe, chat, decontaminate, exact_dedup, sharding, simhash, toxicity
 from ._common import table
 
 
@@ -46,9 +46,38 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_by_bytes(table(spark, sf_dir, "documents"), 40)
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    told = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    both = "\\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", both), (-7, 1, "assistant", both)], told.schema)
+    outputs = ("n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return chat.format_conversations(told.unionByName(more), public_tokenizers.path("byte_bpe_50k.json"), outputs)
+
+
+OP4_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+), e AS (
+  SELECT *, length('<turn ' || role || '>' || chr(10) || '</turn>' || chr(10))
+    + length(replace(replace(replace(text, '\', '\\'), '<turn', '\<turn'), '</turn', '\</turn')) AS chars
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(chars) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_exact_dedup": OP9_SQL}
+    return {"op4_chat": OP4_SQL, "op9_exact_dedup": OP9_SQL}
