@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontaminate, exact_dedup, pii, sharding, simhash, toxicity
+from . import byte_bpe, chat, decontaminate, exact_dedup, line_dedup, pii, sharding, simhash, toxicity
 from ._common import table
 
 
@@ -79,8 +79,12 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.replace_pii(table(spark, sf_dir, "documents"), "millrace")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op8_pii": op8_pii, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op7_line_dedup": op7_line_dedup, "op8_pii": op8_pii, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
