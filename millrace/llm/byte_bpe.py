@@ -79,6 +79,8 @@ class MergeReplay:
 
         def index(keys: np.ndarray, at: np.ndarray) -> int:
             """Enter pairs and their positions; the lowest rank among them."""
+            if not len(keys):
+                return self.none
             order = np.argsort(keys, kind="stable")
             keys, at = keys[order], at[order]
             cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
@@ -97,8 +99,7 @@ class MergeReplay:
             return lowest
 
         starts = np.flatnonzero(after >= 0)
-        if len(starts):
-            index(ids[starts] << 20 | ids[starts + 1], starts)
+        index(ids[starts] << 20 | ids[starts + 1], starts)
         while queue:
             rank, key = heapq.heappop(queue)
             a, b = key >> 20, key & 0xFFFFF
