@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, chat, decontaminate, exact_dedup, line_dedup, pii, sharding, simhash, toxicity
+from . import byte_bpe, chat, decontaminate, exact_dedup, line_dedup, lm_scoring, pii, sharding, simhash, toxicity
 from ._common import table
 
 
@@ -83,8 +83,14 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return lm_scoring.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_simhash": op1_simhash, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op7_line_dedup": op7_line_dedup, "op8_pii": op8_pii, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
+    return {"op1_simhash": op1_simhash, "op2_lm_scoring": op2_lm_scoring, "op3_decontaminate": op3_decontaminate, "op4_chat": op4_chat, "op5_byte_bpe": op5_byte_bpe, "op6_sharding": op6_sharding, "op7_line_dedup": op7_line_dedup, "op8_pii": op8_pii, "op9_exact_dedup": op9_exact_dedup, "op10_toxicity": op10_toxicity}
 
 
 def oracle_sql() -> dict[str, str]:
