@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import tpch
+from .plans import basics, kernels, nexmark, tpcc, tpch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (tpch,)
+MODULES = (tpch, nexmark, tpcc, kernels, basics)
 
 
 def queries() -> dict[str, Query]:
