@@ -10,28 +10,29 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vectors import distance
 
 
-def nearest(point: Column, centroids: list[list[float]]) -> Column:
-    """The number of the nearest centroid."""
-    scored = F.array(*(F.named_struct(F.lit("d"), distance(point, F.array(*map(F.lit, c))), F.lit("i"), F.lit(i)) for i, c in enumerate(centroids)))
-    return F.array_min(scored)["i"]
+def labelled(points: DataFrame, centroids: list[list[float]]) -> DataFrame:
+    """points with label, the number of the nearest centroid. The centroids are one broadcast row."""
+    row = points.sparkSession.createDataFrame([(list(enumerate(centroids)),)], "mr_centroids array<struct<i:int,c:array<double>>>")
+    scored = F.transform("mr_centroids", lambda c: F.struct(distance(F.col("coordinates"), c["c"]).alias("d"), c["i"].alias("i")))
+    return points.crossJoin(F.broadcast(row)).withColumn("label", F.array_min(scored)["i"]).drop("mr_centroids")
 
 
 def assign(points: DataFrame, centroids: list[list[float]]) -> DataFrame:
     """id, label."""
-    return points.select("id", nearest(F.col("coordinates"), centroids).alias("label"))
+    return labelled(points, centroids).select("id", "label")
 
 
 def update(points: DataFrame, centroids: list[list[float]]) -> list[list[float]]:
     """Mean of each centroid's points: one row for each centroid and coordinate reaches the driver."""
-    told = points.select(nearest(F.col("coordinates"), centroids).alias("label"), F.posexplode("coordinates").alias("pos", "x"))
+    told = labelled(points, centroids).select("label", F.posexplode("coordinates").alias("pos", "x"))
     moved = [list(c) for c in centroids]
-    for row in told.groupBy("label", "pos").agg(F.avg("x").alias("mean")).toLocalIterator():
+    for row in told.groupBy("label", "pos").agg(F.avg("x").alias("mean")).collect():
         moved[row.label][row.pos] = row.mean
     return moved
 

@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import basics, kernels, nexmark, tpcc, tpch
+from .plans import basics, kernels, nexmark, streams, tpcc, tpch
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-MODULES = (tpch, nexmark, tpcc, kernels, basics)
+MODULES = (tpch, nexmark, tpcc, kernels, basics, streams)
 
 
 def queries() -> dict[str, Query]:
