@@ -18,7 +18,7 @@ from ..functions.vectors import distance
 
 def labelled(points: DataFrame, centroids: list[list[float]]) -> DataFrame:
     """points with label, the number of the nearest centroid. The centroids are one broadcast row."""
-    row = points.sparkSession.createDataFrame([(list(enumerate(centroids)),)], "mr_centroids array<struct<i:int,c:array<double>>>")
+    row = points.sparkSession.createDataFrame([([(i, [float(x) for x in c]) for i, c in enumerate(centroids)],)], "mr_centroids array<struct<i:int,c:array<double>>>")
     scored = F.transform("mr_centroids", lambda c: F.struct(distance(F.col("coordinates"), c["c"]).alias("d"), c["i"].alias("i")))
     return points.crossJoin(F.broadcast(row)).withColumn("label", F.array_min(scored)["i"]).drop("mr_centroids")
 
