@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,6 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Python workers are used again and again: what a batch took goes back to the system, not to a pool of the worker's
+pa.set_memory_pool(pa.system_memory_pool())
+
+#: Text that is turned into Python objects at once.
+PART_BYTES = 4 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -29,6 +37,15 @@ def kept(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """As kept(), but as Parquet: compressed, and read by column. For wide tables; it stays as long as the folder."""
+    spark = df.sparkSession
+    shared_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def identity(text: Column) -> Column:
     """A 64-bit mark that tells rows with one id but different texts apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())
@@ -52,6 +69,12 @@ def slices(batch: pa.RecordBatch, text: str, most_bytes: int) -> Iterator[pa.Rec
         yield batch.slice(start)
 
 
+def parts(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of about PART_BYTES of text."""
+    for batch in batches:
+        yield from slices(batch, text, PART_BYTES)
+
+
 def only_listed(docs: DataFrame, listed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that `listed` (columns mr_id, mr_mark: the id and identity() of a text) names, each once.
 
@@ -70,3 +93,27 @@ def only_listed(docs: DataFrame, listed: DataFrame, id_col: str = "doc_id", text
     stay = stay.alias("d")
     once = stay.join(repeated, same, "left_semi").dropDuplicates([id_col, text_col])
     return stay.join(repeated, same, "left_anti").unionByName(once)
+
+
+class Marks:
+    """A bitmap of fixed size over the keys of a table: it tells most other keys apart, never one of its own."""
+
+    WORDS = 1 << 16
+
+    def __init__(self, keys: DataFrame, *columns: str):
+        self.columns = columns
+        words = [0] * self.WORDS
+        marked = keys.groupBy(self._word().alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), self._bit())).alias("bits"))
+        for k, bits in marked.toLocalIterator():  # WORDS rows at most
+            words[k] = bits
+        # written as text, which Spark folds into one literal
+        self.words = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+
+    def _word(self) -> Column:
+        return F.pmod(F.xxhash64(*self.columns), F.lit(self.WORDS)).cast("int")
+
+    def _bit(self) -> Column:
+        return F.pmod(F.hash(*self.columns), F.lit(64)).cast("int")
+
+    def has(self) -> Column:
+        return F.get(self.words, self._word()).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), self._bit())) != 0

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import identity, kept, only_listed, utf8
+from ._common import identity, kept, parts, utf8
 from .components import components
 
 POSITIONS, MAX_BITS = 8, 3
@@ -61,7 +61,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str =
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("mr_id"), F.col(f"`{text_col}`").alias("mr_text"), identity(F.col(f"`{text_col}`")).alias("mr_mark"))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in parts(batches, "mr_text"):
             fps = np.array([fingerprint(x, words, seed) for x in utf8(batch.column("mr_text"))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column("mr_id"), batch.column("mr_mark"), pa.array(fps)], ["mr_id", "mr_mark", "fp"])
 
@@ -91,42 +91,51 @@ def forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return fps[leaves], fps[label[leaves]]
 
 
+def dealt(members: DataFrame, node: str) -> DataFrame:
+    """Members of lists (node, key, n: the list's length) dealt to pairs of chunks: node, key, low, high. Two members of
+    a list meet in one pair of its chunks at least."""
+    chunks = F.greatest(F.least(F.ceil(F.col("n") / SMALL), F.lit(MANY)), F.ceil(F.col("n") / LARGE)).cast("int")
+    members = members.withColumn("chunks", chunks).withColumn("mine", F.pmod(F.xxhash64(node), "chunks").cast("int"))
+    members = members.select(node, "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
+    return members.select(node, "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
+
+
+def runs(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[list[list[np.ndarray]]]:
+    """The columns of each pair of chunks, of batches sorted by key, low and high; a few pairs at a time."""
+    open_key, rest = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = [batch.column(c).to_numpy(zero_copy_only=False) for c in columns]
+        key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")])
+        cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+        found = [[v[s:e] for v in values] for s, e in zip(cuts, cuts[1:], strict=False)]
+        if rest is not None and tuple(key[:, 0]) == open_key:
+            found[0] = [np.concatenate(x) for x in zip(rest, found[0], strict=True)]
+        elif rest is not None:
+            found.insert(0, rest)
+        rest, open_key = found.pop(), tuple(key[:, -1])
+        yield found
+    if rest is not None:
+        yield [rest]
+
+
 def links(fps: DataFrame) -> DataFrame:
     """a, b: links that connect all fingerprints (distinct, column fp) that differ in three bits or fewer."""
     byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(255)
     keys = [F.lit(k << 24).cast("long") + byte(t[0]) * 65536 + byte(t[1]) * 256 + byte(t[2]) for k, t in enumerate(TRIPLES)]
     postings = kept(fps.select("fp", F.explode(F.array(*keys)).alias("key")))
     lists = kept(postings.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    chunks = F.greatest(F.least(F.ceil(F.col("n") / SMALL), F.lit(MANY)), F.ceil(F.col("n") / LARGE)).cast("int")
-    members = postings.join(lists, "key").withColumn("chunks", chunks)
-    members = members.withColumn("mine", F.pmod(F.xxhash64("fp"), "chunks").cast("int"))
-    dealt = members.select("fp", "key", "mine", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("other"))
-    dealt = dealt.select("fp", "key", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"))
-    dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
+    members = dealt(postings.join(lists, "key"), "fp")
+    members = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(runs: list[np.ndarray]) -> pa.RecordBatch:
-            found = [forest(x) for x in runs if len(x) > 1]
+        for group in runs(batches, ("fp",)):
+            found = [forest(fp.view(np.uint64)) for (fp,) in group if len(fp) > 1]
             ends = [np.concatenate([f[i] for f in found]) if found else np.array([], np.uint64) for i in (0, 1)]
-            return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in ends], ["a", "b"])
-
-        open_key, rest = None, np.array([], np.uint64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fp = batch.column("fp").to_numpy().view(np.uint64)
-            key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "low", "high")])
-            cuts = [0, *(np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1).tolist(), len(fp)]
-            runs = [fp[s:e] for s, e in zip(cuts, cuts[1:], strict=False)]
-            if tuple(key[:, 0]) == open_key:
-                runs[0] = np.concatenate([rest, runs[0]])
-            else:
-                runs.insert(0, rest)
-            rest, open_key = runs.pop(), tuple(key[:, -1])
-            yield out(runs)
-        yield out([rest])
-
-    return dealt.mapInArrow(tally, "a long, b long")
+            yield pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in ends], ["a", "b"])
+
+    return members.mapInArrow(tally, "a long, b long")
 
 
 def classes(marked: DataFrame) -> DataFrame:
@@ -149,13 +158,3 @@ def simhash(docs: DataFrame, words: int = 3, seed: int = 42, id_col: str = "doc_
     marked = kept(fingerprints(docs, words, seed, id_col, text_col))
     rows = marked.join(classes(marked), "fp")
     return rows.select(F.col("mr_id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
-
-
-def drop_near_copies(docs: DataFrame, words: int = 5, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one document of each component, that of the smallest id; all columns kept."""
-    marked = kept(fingerprints(docs, words, seed, id_col, text_col))
-    m, c = marked.alias("m"), classes(marked).alias("c")
-    stay = m.join(c, (F.col("m.fp") == F.col("c.fp")) & F.col("m.mr_id").eqNullSafe(F.col("c.component")), "left_semi")
-    # several texts of one component may have that id: the smallest mark stays
-    stay = stay.groupBy("mr_id", "fp").agg(F.min("mr_mark").alias("mr_mark"))
-    return only_listed(docs, stay.select("mr_id", "mr_mark"), id_col, text_col)
