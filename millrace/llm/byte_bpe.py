@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._common import slices
 
 #: Text that is encoded together, and pieces remembered from block to block by a worker.
-BLOCK_BYTES, CACHE_WORDS, CACHE_CHARS = 16 << 20, 250_000, 64
+BLOCK_BYTES, CACHE_WORDS, CACHE_CHARS, CACHE_PAIRS = 4 << 20, 200_000, 64, 1 << 18
 
 _workers: dict[tuple[str, str], "MergeReplay"] = {}
 
@@ -59,7 +59,7 @@ class MergeReplay:
         """The rank of the pair (two ids in one number), `none` where it has none."""
         rank = self.pair_rank.get(key)
         if rank is None:
-            if len(self.pair_rank) > 1 << 20:
+            if len(self.pair_rank) > CACHE_PAIRS:
                 self.pair_rank.clear()
             rank = self.pair_rank[key] = self.ranks.get(self.token[key >> 20] + self.token[key & 0xFFFFF], self.none)
         return rank

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._common import parts
+
 MIN_TILE, COVERAGE, BLOCK_BYTES = 5, 0.5, 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _words = re.compile(r"\w+").findall
@@ -172,7 +174,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
 
     def search(block: Block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches, "mr_text"):
                 rows = [(doc, item, covered, n, tiled, covered / n) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("mr_text").to_pylist(), strict=True) for item, covered, n, tiled in block.leaks(text)]
                 yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
@@ -190,7 +192,7 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -
 
     def keep(block: Block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in parts(batches, text_col):
                 yield batch.filter(pa.array([not block.leaks(x) for x in batch.column(text_col).to_pylist()], pa.bool_()))
 
         return run

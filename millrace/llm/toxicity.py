@@ -25,7 +25,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import utf8
+from ._common import parts, utf8
 
 WINDOW, OVERLAP, LEVEL = 64, 20, 6
 ORDINARY_BYTES, TOXIC_BYTES = 8192, 2048
@@ -148,7 +148,7 @@ def score(docs: DataFrame, model: Toxicity, id_col: str = "doc_id", text_col: st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
-        for batch in batches:
+        for batch in parts(batches, "mr_text"):
             scores = of(utf8(batch.column("mr_text")))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -160,7 +160,7 @@ def drop_toxic(docs: DataFrame, model: Toxicity, text_col: str = "text") -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = model.scorer()
-        for batch in batches:
+        for batch in parts(batches, text_col):
             yield batch.filter(pa.array(of(utf8(batch.column(text_col))) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)
