@@ -21,18 +21,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import kept
+from ._common import Marks, kept, written
 
 THRESHOLD = 0.8
 BUCKETS, HOT, SALT_ROWS = 1 << 18, 256, 16_384
-_MAP_WORDS = 1 << 16
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, pos, words: the lines that have words."""
-    line = F.posexplode(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n")).alias("pos", "line")
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), line).where(F.col("line").rlike(r"[^\s\p{Z}]"))
-    return rows.select("doc", "pos", F.array_distinct(F.array_remove(F.split(F.lower("line"), r"[\s\p{Z}]+"), "")).alias("words"))
+    """doc, pos, line: the lines that have words, lower-cased."""
+    line = F.posexplode(F.split(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), "\n")).alias("pos", "line")
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), line).where(F.col("line").rlike(r"\S"))
+
+
+def _words() -> Column:
+    """The words of column line; an empty one before a leading space is taken out."""
+    return F.array_remove(F.split("line", r"[ \t\r\f\x0b]+"), "")
 
 
 def _numbers(values: list[int], kind: str) -> Column:
@@ -40,9 +43,13 @@ def _numbers(values: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
 
+def _shifted(value: Column | int, by: Column) -> Column:
+    return F.call_function("shiftleft", value if isinstance(value, Column) else F.lit(value).cast("long"), by)
+
+
 def _rarity(lines: DataFrame) -> Column:
     """Constant array: for each bucket of words, ten times the logarithm of its count in lines."""
-    words = lines.select(F.explode("words").alias("w")).select(F.pmod(F.hash("w"), F.lit(BUCKETS)).alias("bucket"))
+    words = lines.select(F.explode(_words()).alias("w")).select(F.pmod(F.hash("w"), F.lit(BUCKETS)).alias("bucket"))
     counts = [0] * BUCKETS
     for bucket, n in words.groupBy("bucket").agg(F.round(F.log2(F.count("*") + 1) * 10).cast("int").alias("n")).toLocalIterator():
         counts[bucket] = n  # BUCKETS rows at most
@@ -59,77 +66,83 @@ def _may_match(a: str, b: str) -> Column:
     least = _least_overlap(n, m)
     return (
         (F.least(n, m) >= F.greatest(n, m) * THRESHOLD - 1e-9)
-        & (1 + F.least(n - p, m - q) - 1 >= least)
+        & (F.least(n - p, m - q) >= least)
         & (F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))) <= n + m - 2 * least)
     )
 
 
 def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """late: the keys of lines in `pairs` (late, early: keys of word sets) that are similar enough.
+    """doc, pos of the later lines in `pairs` (x_doc, x_pos, y_doc, y_pos) that are similar enough to the earlier ones.
 
-    Only lines in question are fetched: a bitmap of fixed size, built from the pairs, tells most others apart.
+    Only the words of lines in question are fetched.
     """
-    pairs = kept(pairs.distinct())
-    asked = pairs.select(F.explode(F.array("late", "early")).alias("key"))
-    word, bit = lambda k: F.pmod(k, F.lit(_MAP_WORDS)), lambda k: F.pmod(F.shiftright(k, 20), F.lit(64)).cast("int")
-    one = F.lit(1).cast("long")
-    marks = [0] * _MAP_WORDS
-    for k, bits in asked.groupBy(word(F.col("key")).alias("k")).agg(F.bit_or(F.call_function("shiftleft", one, bit(F.col("key")))).alias("bits")).toLocalIterator():
-        marks[k] = bits  # _MAP_WORDS rows at most
-    told = lines.where(F.get(_numbers(marks, "bigint"), word(F.col("key")).cast("int")).bitwiseAND(F.call_function("shiftleft", one, bit(F.col("key")))) != 0)
-    told = told.select("key", "words").join(asked.distinct(), "key", "left_semi")
-    told = kept(told.groupBy("key").agg(F.first("words").alias("words")))
-    found = pairs.join(told.select(F.col("key").alias("late"), F.col("words").alias("a")), "late").join(told.select(F.col("key").alias("early"), F.col("words").alias("b")), "early")
-    common = F.size(F.array_intersect("a", "b"))
-    return kept(found.where(common >= THRESHOLD * (F.size("a") + F.size("b") - common) - 1e-9).select("late").distinct())
+    pairs = kept(pairs.select("x_doc", "x_pos", "y_doc", "y_pos").distinct())
+    place = lambda side: pairs.select(F.col(f"{side}_doc").alias("doc"), F.col(f"{side}_pos").alias("pos"))
+    asked = kept(place("x").unionByName(place("y")).distinct())
+    told = lines.where(Marks(asked, "doc", "pos").has()).join(asked.select(F.col("doc").alias("d"), F.col("pos").alias("p")), F.col("doc").eqNullSafe(F.col("d")) & (F.col("pos") == F.col("p")), "left_semi")
+    told = kept(told.select("doc", "pos", F.array_distinct(_words()).alias("words")))
+    of = lambda side: told.select(*(F.col(c).alias(f"{side}{c}") for c in ("doc", "pos", "words")))
+    same = lambda side, t: F.col(f"{side}_doc").eqNullSafe(F.col(f"{t}doc")) & (F.col(f"{side}_pos") == F.col(f"{t}pos"))
+    found = pairs.join(of("a"), same("x", "a")).join(of("b"), same("y", "b"))
+    common = F.size(F.array_intersect("awords", "bwords"))
+    found = found.where(common >= THRESHOLD * (F.size("awords") + F.size("bwords") - common) - 1e-9)
+    return kept(found.select(F.col("x_doc").alias("doc"), F.col("x_pos").alias("pos")).distinct())
+
+
+def _before(y: str, x: str) -> Column:
+    """Place y comes before place x; a null id comes first."""
+    a, b = F.col(f"{y}doc"), F.col(f"{x}doc")
+    return F.when(a.eqNullSafe(b), F.col(f"{y}pos") < F.col(f"{x}pos")).when(a.isNull(), True).when(b.isNull(), False).otherwise(a < b)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, removed: the sorted numbers (from 0) of the lines to remove, for documents that have any."""
-    lines = _lines(docs, id_col, text_col).withColumn("key", F.xxhash64(F.array_sort("words")))
+    lines = _lines(docs, id_col, text_col)
     rarity = _rarity(lines)
-    number = F.hash
-    ranked = F.array_sort(F.transform("words", lambda w: F.call_function("shiftleft", F.get(rarity, F.pmod(number(w), F.lit(BUCKETS))).cast("long"), F.lit(32)) + number(w).cast("long").bitwiseAND(F.lit(0xFFFFFFFF))))
-    n = F.size("words")
-    prefix = F.slice(ranked, 1, (n - F.ceil(n * THRESHOLD - 1e-9) + 1).cast("int"))
-    bits = F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(number(w, F.lit(7)), F.lit(64)).cast("int"))))
-    place = F.struct("doc", "pos")
-    sets = lines.select("key", n.alias("n"), bits.alias("bits"), prefix.alias("prefix"), place.alias("at")).groupBy("key", "n", "bits", "prefix").agg(F.min("at").alias("at"), F.count("*").alias("times"))
-    sets = kept(sets)
+    # a word's rank: rarity in the high half, hash in the low one; 31 bits of the hash, of which BUCKETS takes the lowest, name it
+    rank = lambda h: _shifted(F.get(rarity, F.pmod(h, F.lit(BUCKETS))).cast("long"), F.lit(32)) + h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    told = lines.select("doc", "pos", F.array_distinct(_words()).alias("words"))
+    told = told.select("doc", "pos", F.size("words").alias("n"), F.xxhash64(F.sort_array("words")).alias("key"), F.sort_array(F.transform("words", lambda w: rank(F.hash(w)))).alias("ranks"))
+    bits = F.aggregate("ranks", F.lit(0).cast("long"), lambda a, r: a.bitwiseXOR(_shifted(1, F.shiftright(r, 20).cast("int").bitwiseAND(63))))
+    prefix = F.slice("ranks", 1, (F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1).cast("int"))
+    here = written(told.select("doc", "pos", "key", "n", bits.alias("bits"), F.transform(prefix, lambda r: r.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix")))
+
+    # equal sets are one: that of the first place
+    sets = here.groupBy("key", "n", "bits", "prefix").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("times"))
+    sets = written(sets.select("key", "at.doc", "at.pos", "times", "n", "bits", "prefix"))
+    columns = ["doc", "pos", "n", "bits", "p"]
 
     # lists of frequent words: settle what matches the earliest line of its list
-    entry = F.struct("at", "key", "n", "bits", "p")
-    posted = sets.select("at", "key", "n", "bits", F.posexplode("prefix").alias("p", "token"))
-    weight = F.shiftright("token", 32)
-    hot = posted.where(weight >= int(10 * (HOT.bit_length() - 1)))
-    salt = F.pmod("key", F.ceil(F.pow(F.lit(2.0), weight / 10) / SALT_ROWS))
-    early = Window.partitionBy("token", salt).orderBy("at", "key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = hot.withColumn("first", F.first(entry).over(early))
-    led = led.select(*(F.col(c).alias(f"x_{c}") for c in ("at", "key", "n", "bits", "p")), *(F.col(f"first.{c}").alias(f"y_{c}") for c in ("at", "key", "n", "bits", "p")))
-    led = led.where((F.col("x_key") != F.col("y_key")) & _may_match("x_", "y_"))
-    settled = _verified(led.select(F.col("x_key").alias("late"), F.col("y_key").alias("early")), lines)
-
-    # the join asks about the others
-    marked = sets.join(settled.select(F.col("late").alias("key"), F.lit(True).alias("done")), "key", "left")
-    marked = kept(marked.select("at", "key", "n", "bits", F.coalesce("done", F.lit(False)).alias("done"), "prefix"))
-    posted = marked.select("at", "key", "n", "bits", "done", F.posexplode("prefix").alias("p", "token"))
-    x, y = (posted.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("at", "key", "n", "bits", "done", "p"))) for side in "xy")
-    x = x.where(~F.col("x_done"))
-    pairs = x.join(y.withColumnRenamed("token", "y_token"), F.col("token") == F.col("y_token")).where(((F.col("y_at") < F.col("x_at")) | ((F.col("y_at") == F.col("x_at")) & (F.col("y_key") < F.col("x_key")))) & _may_match("x_", "y_"))
-    late = _verified(pairs.select(F.col("x_key").alias("late"), F.col("y_key").alias("early")), lines)
+    weight = F.get(rarity, F.pmod("token", F.lit(BUCKETS)))
+    posted = sets.select("doc", "pos", "n", "bits", F.posexplode("prefix").alias("p", "token"))
+    salt = F.pmod("bits", F.ceil(F.pow(F.lit(2.0), weight / 10) / SALT_ROWS))
+    early = Window.partitionBy("token", salt).orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    led = posted.where(weight >= 10 * (HOT.bit_length() - 1)).withColumn("first", F.first(F.struct(*columns)).over(early))
+    led = led.select(*(F.col(c).alias(f"x_{c}") for c in columns), *(F.col(f"first.{c}").alias(f"y_{c}") for c in columns))
+    settled = _verified(led.where(_before("y_", "x_") & _may_match("x_", "y_")), lines)
+
+    # the join asks about the others; few sets have to be looked up among the settled
+    maybe = Marks(settled, "doc", "pos").has()
+    done = settled.select(F.col("doc").alias("d"), F.col("pos").alias("q"), F.lit(True).alias("done"))
+    sure = sets.where(~maybe).select("doc", "pos", "n", "bits", "prefix", F.lit(False).alias("done"))
+    unsure = sets.where(maybe).join(done, F.col("doc").eqNullSafe(F.col("d")) & (F.col("pos") == F.col("q")), "left").select("doc", "pos", "n", "bits", "prefix", F.coalesce("done", F.lit(False)).alias("done"))
+    posted = sure.unionByName(unsure).select("doc", "pos", "n", "bits", "done", F.posexplode("prefix").alias("p", "token"))
+    x, y = (posted.select(*(F.col(c).alias(f"{side}_{c}") for c in ("token", "done", *columns))) for side in "xy")
+    pairs = x.join(y, F.col("x_token") == F.col("y_token")).where(~F.col("x_done") & _before("y_", "x_") & _may_match("x_", "y_"))
+    late = _verified(pairs, lines)
 
     # a set's lines go if the set is late, or if they are not its first
-    gone = settled.unionByName(late).select(F.col("late").alias("key"), F.lit(True).alias("late"))
-    verdict = kept(sets.select("key", "at", "times").join(gone, "key", "left").where("late or times > 1").select("key", F.col("at").alias("first"), F.coalesce("late", F.lit(False)).alias("late")))
-    here = kept(lines.select("doc", "pos", "key"))
-    cut = here.join(verdict, "key").where(F.col("late") | ~place.eqNullSafe(F.col("first")))
-    return cut.groupBy("doc").agg(F.array_sort(F.collect_set("pos")).alias("removed"))
+    gone = settled.unionByName(late).select(F.col("doc").alias("d"), F.col("pos").alias("q"))
+    verdict = sets.select("key", "doc", "pos", "times").join(gone.withColumn("late", F.lit(True)), F.col("doc").eqNullSafe(F.col("d")) & (F.col("pos") == F.col("q")), "left")
+    verdict = kept(verdict.where("late or times > 1").select("key", F.col("doc").alias("d"), F.col("pos").alias("q"), F.coalesce("late", F.lit(False)).alias("late")))
+    cut = here.select("doc", "pos", "key").join(verdict, "key").where(F.col("late") | ~(F.col("doc").eqNullSafe(F.col("d")) & (F.col("pos") == F.col("q"))))
+    return cut.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_lines (with words), n_removed, removed (line numbers from 0, sorted)."""
     removed = removed_lines(docs, id_col, text_col)
-    some = F.size(F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n"), lambda x: x.rlike(r"[^\s\p{Z}]")))
+    some = F.size(F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n"), lambda x: x.rlike(r"\S")))
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), some.alias("n_lines"))
     rows = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
     none = F.array().cast("array<int>")
