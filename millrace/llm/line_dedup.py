@@ -128,7 +128,9 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     unsure = sets.where(maybe).join(done, F.col("doc").eqNullSafe(F.col("d")) & (F.col("pos") == F.col("q")), "left").select("doc", "pos", "n", "bits", "prefix", F.coalesce("done", F.lit(False)).alias("done"))
     posted = sure.unionByName(unsure).select("doc", "pos", "n", "bits", "done", F.posexplode("prefix").alias("p", "token"))
     x, y = (posted.select(*(F.col(c).alias(f"{side}_{c}") for c in ("token", "done", *columns))) for side in "xy")
-    pairs = x.join(y, F.col("x_token") == F.col("y_token")).where(~F.col("x_done") & _before("y_", "x_") & _may_match("x_", "y_"))
+    # asked of both sides, so that it is not pushed to one: both then read one exchange
+    asks = ~F.col("x_done") | (F.col("y_n") < 0)
+    pairs = x.join(y, F.col("x_token") == F.col("y_token")).where(asks & _before("y_", "x_") & _may_match("x_", "y_"))
     late = _verified(pairs, lines)
 
     # a set's lines go if the set is late, or if they are not its first
