@@ -113,6 +113,31 @@ def test_near_copies(spark, docs, odd):
     assert near_copies.drop_near_copies(docs()).count() == 0
 
 
+def block_edits(words, draw):
+    """The words with one block added, cut or replaced, so that the five-word shingles are alike by 0.8 to 0.88."""
+    n, new = len(words), lambda k: [f"new{draw.randrange(10**6)}" for _ in range(k)]
+    for want in (0.801, 0.83, 0.86, 0.88):
+        grown, cut = int((n - 4) * (1 / want - 1)), int((n - 4) * (1 - want))
+        yield words + new(grown)
+        yield words[: n - cut]
+        other = int((n - 4) * (1 - want) / (1 + want)) - 4
+        at = draw.randrange(5, n - other - 5)
+        yield words[:at] + new(other) + words[at + other :]
+
+
+def test_near_copies_with_block_edits(spark, docs):
+    draw = random.Random(5)
+    originals = [[f"w{draw.randrange(3000)}" for _ in range(300)] for _ in range(40)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(originals)]
+    for w in originals:
+        s = near_copies.shingles(" ".join(w).encode())
+        for edit in block_edits(w, draw):
+            t = near_copies.shingles(" ".join(edit).encode())
+            assert 0.8 <= len(s & t) / len(s | t) < 0.89
+            rows.append((100 + len(rows), " ".join(edit)))
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs(*rows)).collect()) == [*range(40)]
+
+
 def plain_line_dedup(rows):
     seen, out = [], {}
     for doc, text in rows:
