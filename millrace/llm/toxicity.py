@@ -1,11 +1,12 @@
-"""Toxicity by compression distance: two zstandard dictionaries, windows, calibrated scores.
+"""Toxicity by compression distance: zstandard dictionaries, windows, calibrated scores.
 
 Learning (bounded: at most SAMPLE_TOXIC and SAMPLE_ORDINARY labelled documents of at most SAMPLE_BYTES each, chosen by
-a hash of their ids): one dictionary is trained on windows of ordinary documents, another on toxic passages, which are
-the surroundings of the tokens that set toxic documents apart. Scoring covers whole texts: each is lower-cased (A-Z),
-its white space made single, and cut into overlapping windows. A window's distance is the number of bytes that the
-toxic dictionary saves beyond the ordinary one. The two largest distances of a document give its score by a logistic
-curve that was fitted to the sample, so that 0.5 is the calibrated threshold.
+a hash of their ids): one dictionary is trained on windows of ordinary documents, two on toxic passages, which are
+the surroundings of the tokens that set toxic documents apart: the frequent ones of these, and all of them, so that the
+words of a rarer language do not drown. Scoring covers whole texts: each is lower-cased (A-Z), its white space made
+single, and cut into overlapping windows. A window's distance is the number of bytes that a toxic dictionary saves
+beyond the ordinary one. The largest distances of a document and the logarithm of its number of windows give its score
+by a logistic curve that was fitted to the sample, so that 0.5 is the calibrated threshold.
 
 Null and empty texts have one empty window and so the lowest score. Without labelled rows of both kinds nothing can be
 learnt: all scores are 0. There is no shuffle of texts: the model (under 64 KB) travels with the tasks.
@@ -16,7 +17,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -57,72 +58,85 @@ def _dictionary(samples: list[bytes], size: int) -> bytes:
 
 @dataclass(frozen=True)
 class Toxicity:
-    """Two dictionaries and the logistic curve; empty dictionaries score 0."""
+    """The ordinary dictionary, the toxic ones of frequent and of all tokens, and the logistic curve's weights, the
+    constant last; empty dictionaries score 0."""
 
     ordinary: bytes
     toxic: bytes
-    slope: float
-    at: float
+    wide: bytes
+    weights: tuple[float, ...] = ()
 
-    def scorer(self):
-        if not self.toxic:
-            return lambda texts: np.zeros(len(texts))
+    def measure(self):
+        """A function from texts to their features: the two largest distances by frequent tokens, the four largest by all,
+        the logarithm of the number of windows."""
         plain = _compressor(self.ordinary)
-        # what both share does not count: the toxic dictionary is put before the ordinary one
-        toxic = _compressor(self.toxic + self.ordinary)
+        # what both share does not count: a toxic dictionary is put before the ordinary one
+        toxic = [(_compressor(content + self.ordinary), most) for content, most in ((self.toxic, 2), (self.wide, 4))]
+
+        def feature(text: bytes) -> list[float]:
+            windows = _windows(_normal(text))
+            sizes = [len(plain.compress(w)) for w in windows]
+            out = []
+            for own, most in toxic:
+                distances = sorted((n - len(own.compress(w)) for n, w in zip(sizes, windows, strict=True)), reverse=True)
+                out.append(distances[0] + 0.5 * sum(max(0, d) for d in distances[1:most]))
+            return [*out, float(np.log(len(windows)))]
 
-        def feature(text: bytes) -> float:
-            distances = sorted(len(plain.compress(w)) - len(toxic.compress(w)) for w in _windows(_normal(text)))
-            return distances[-1] + (0.5 * max(0, distances[-2]) if len(distances) > 1 else 0.0)
+        return lambda texts: np.array([feature(x) for x in texts], float).reshape(-1, 3)
 
-        self_slope, at = self.slope, self.at
-        return lambda texts: 1 / (1 + np.exp(-np.clip(self_slope * (np.array([feature(x) for x in texts], float) - at), -500, 500)))
+    def scorer(self):
+        if not self.toxic:
+            return lambda texts: np.zeros(len(texts))
+        measure, weights = self.measure(), np.array(self.weights)
+        return lambda texts: 1 / (1 + np.exp(-np.clip(measure(texts) @ weights[:-1] + weights[-1], -500, 500)))
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and midpoint by Newton's method, with a little ridge."""
-    a, b = 0.1, -2.0
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Weights of the columns of x, and a constant, by Newton's method, with a little ridge."""
+    x = np.c_[x, np.ones(len(x))]
+    out = np.zeros(x.shape[1])
+    out[-1] = -2.0
     for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a * x + b, -500, 500)))
-        w = p * (1 - p)
-        g = np.array([((p - y) * x).sum() + 0.01 * a, (p - y).sum() + 0.01 * b])
-        h = np.array([[(w * x * x).sum() + 0.01, (w * x).sum()], [(w * x).sum(), w.sum() + 0.01]])
+        p = 1 / (1 + np.exp(-np.clip(x @ out, -500, 500)))
+        g = x.T @ (p - y) + 0.01 * out
+        h = (x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(len(out))
         step = np.linalg.solve(h, g)
         step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
-        a, b = a - step[0], b - step[1]
+        out -= step
         if np.abs(step).max() < 1e-9:
             break
-    return (a, -b / a) if a > 1e-6 else (1e-6, 1e6)
+    return tuple(map(float, out))
+
+
+def _toxic_dictionary(texts: list[bytes], words: dict[bytes, int], draw: np.random.Generator) -> bytes:
+    """Trained on the passages around the words; those that training leaves out of few and short samples are added."""
+    passages = [x[max(0, m.start() - 1) : m.end() + 1] for x in texts for m in _TOKEN.finditer(x) if m.group() in words]
+    content = _dictionary([passages[i] for i in draw.permutation(len(passages))[:20_000]], TOXIC_BYTES)
+    for word in sorted(words, key=lambda w: (-words[w], w)):
+        if word not in content and len(content) < 2 * TOXIC_BYTES:
+            content = b" " + word + b" " + content
+    return content
 
 
 def learn(toxic: list[bytes], ordinary: list[bytes]) -> Toxicity:
     """From texts of both kinds; equal texts count once."""
     toxic, ordinary = (sorted({_normal(x) for x in texts}) for texts in (toxic, ordinary))
     if not toxic or not ordinary:
-        return Toxicity(b"", b"", 1.0, 0.0)
+        return Toxicity(b"", b"", b"")
     seen = [Counter(), Counter()]
     for count, texts in zip(seen, (toxic, ordinary), strict=True):
         for x in texts:
             count.update(set(_TOKEN.findall(x)))
-    # tokens that are eight times as frequent, by documents, as in ordinary texts, and not rare among such tokens
+    # tokens that are eight times as frequent, by documents, as in ordinary texts
     apart = {w: n for w, n in seen[0].items() if len(w) > 2 and n >= max(3, len(toxic) / 100) and n / len(toxic) >= 8 * (seen[1][w] + 0.5) / len(ordinary)}
-    apart = {w: n for w, n in apart.items() if n >= max(apart.values()) / 4}
-    passages = [x[max(0, m.start() - 1) : m.end() + 1] for x in toxic for m in _TOKEN.finditer(x) if m.group() in apart]
-    if not passages:
-        return Toxicity(b"", b"", 1.0, 0.0)
+    if not apart:
+        return Toxicity(b"", b"", b"")
+    frequent = {w: n for w, n in apart.items() if n >= max(apart.values()) / 4}
     draw = np.random.default_rng(10)
-    passages = [passages[i] for i in draw.permutation(len(passages))[:20_000]]
     plain = [x[at : at + WINDOW] for x in ordinary for at in draw.integers(0, max(1, len(x) - WINDOW), 6).tolist()]
-    content = _dictionary(passages, TOXIC_BYTES)
-    for word in sorted(apart, key=lambda w: (-apart[w], w)):  # training leaves out some of few and short samples
-        if word not in content and len(content) < 2 * TOXIC_BYTES:
-            content = b" " + word + b" " + content
-    raw = Toxicity(_dictionary(plain, ORDINARY_BYTES), content, 1.0, 0.0)
-    score = raw.scorer()
-    odds = lambda texts: (lambda p: np.log(p / np.maximum(1 - p, 1e-300)))(np.clip(score(texts), 1e-300, 1 - 1e-16))
-    x = np.concatenate([odds(toxic), odds(ordinary)])
-    slope, at = _logistic(np.minimum(x, 30), np.concatenate([np.ones(len(toxic)), np.zeros(len(ordinary))]))
-    return Toxicity(raw.ordinary, raw.toxic, float(slope), float(at))
+    raw = Toxicity(_dictionary(plain, ORDINARY_BYTES), _toxic_dictionary(toxic, frequent, draw), _toxic_dictionary(toxic, apart, draw))
+    weights = _logistic(raw.measure()(toxic + ordinary), np.concatenate([np.ones(len(toxic)), np.zeros(len(ordinary))]))
+    return replace(raw, weights=weights)
 
 
 def held_out(id_col: str = "doc_id"):

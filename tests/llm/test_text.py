@@ -187,6 +187,24 @@ def test_toxicity_held_out_accuracy(spark, docs, odd):
     assert toxicity.score(docs(), model).count() == 0
 
 
+def test_toxicity_in_a_rare_language():
+    draw = random.Random(11)
+    plain = lambda n: ["".join(draw.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    common, rare = ["stinkwort", "lumpvogt", "quarkzunk", "mistwurm"], [f"réeux{a}{b}" for a in "klmn" for b in "prst"]
+
+    def text(words, n):
+        out = plain(40)
+        for word in draw.sample(words, n):
+            out.insert(draw.randrange(len(out)), word)
+        return " ".join(out).encode()
+
+    toxic = [text(common, 3) for _ in range(160)] + [text(rare, 4) for _ in range(40)]
+    score = toxicity.learn(toxic, [text(common, 0) for _ in range(800)]).scorer()
+    assert (score([text(rare, 4) for _ in range(50)]) >= 0.5).mean() > 0.8
+    assert (score([text(common, 3) for _ in range(50)]) >= 0.5).mean() > 0.9
+    assert (score([text(common, 0) for _ in range(200)]) >= 0.5).mean() < 0.05
+
+
 def test_gradients():
     draw = np.random.default_rng(0)
     pairs = draw.integers(0, 3, (attention.NUMBERS, attention.NUMBERS)).astype(float)
