@@ -138,6 +138,35 @@ def test_near_copies_with_block_edits(spark, docs):
     assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs(*rows)).collect()) == [*range(40)]
 
 
+def test_near_copies_beside_nearer_ones(spark, docs):
+    # of two pairs, A-B and C-D, each is nearest to its other; B-C alone joins them. Between them lie template pages
+    draw = random.Random(6)
+    base = [f"w{draw.randrange(3000)}" for _ in range(300)]
+    new = lambda k: [f"new{draw.randrange(10**6)}" for _ in range(k)]
+    rows = [(100 + i, " ".join(base[:160] + new(140))) for i in range(40)]  # alike by less than 0.4, sharing a half
+    chain = [base[18 * k :] + new(18 * k) for k in range(6)]  # neighbours by about 0.88, two apart by about 0.78
+    rows += [(i, " ".join(w)) for i, w in enumerate(chain)]
+    sets = {i: near_copies.shingles(t.encode()) for i, t in rows}
+    roots = {i: i for i in sets}
+    for i in sorted(sets):
+        for j in sorted(sets):
+            if i < j and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                old, now = sorted((roots[i], roots[j]))[::-1]
+                roots = {k: now if r == old else r for k, r in roots.items()}
+    assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs(*rows)).collect()) == sorted(set(roots.values()))
+
+
+def test_every_pair_in_reach_is_asked():
+    # 40 sets of which one is nearest and smallest for all others in reach: the others' pairs are asked too
+    sets = [np.arange(1, 401, dtype=np.uint64) * np.uint64(7919)] + [np.arange(1 + k, 401 + k, dtype=np.uint64) * np.uint64(7919) for k in range(1, 40)]
+    bits, sizes = np.array([near_copies.bitmap(x) for x in sets]), np.full(40, 400)
+    want = {(i, j) for i in range(40) for j in range(i + 1, 40) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))}
+    found = lambda roots: {(int(i), int(j)) for a, b in near_copies.crossing_pairs(sizes, bits, roots) for i, j in zip(a, b, strict=True)}
+    assert want <= found(np.arange(40)) and not found(np.zeros(40))
+    halves = np.arange(40) // 20
+    assert {p for p in want if halves[p[0]] != halves[p[1]]} <= found(halves)
+
+
 def plain_line_dedup(rows):
     seen, out = [], {}
     for doc, text in rows:
