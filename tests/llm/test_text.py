@@ -205,6 +205,17 @@ def test_toxicity_in_a_rare_language():
     assert (score([text(common, 0) for _ in range(200)]) >= 0.5).mean() < 0.05
 
 
+def test_pair_counts_across_word_ends(spark, docs):
+    table = docs((1, "red green red green"), (3, "blue red green"), (4, None)).selectExpr("text as mr_text")
+    size = len(byte_bpe.MergeReplay.of(PATH, "").token)
+    subwords = lm_scoring.Subwords.of(PATH, lm_scoring.subword_counts(lm_scoring.word_counts(table, PATH), size))
+    pairs, want = lm_scoring.pair_counts(table, subwords), Counter()
+    for words in ([b"red", b"green"] * 2, [b"blue", b"red", b"green"], []):
+        numbers = [lm_scoring.END, *subwords.reader().read([words])[0].tolist()]
+        want.update(zip(numbers, numbers[1:]))
+    assert {(int(a), int(b)): int(pairs[a, b]) for a, b in zip(*np.nonzero(pairs), strict=True)} == want
+
+
 def test_gradients():
     draw = np.random.default_rng(0)
     pairs = draw.integers(0, 3, (attention.NUMBERS, attention.NUMBERS)).astype(float)
