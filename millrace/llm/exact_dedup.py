@@ -5,8 +5,8 @@ row with the largest id stays (a null id is smaller than any other). Rows that r
 document: the first of them stays when the id wins. An empty table gives an empty result.
 
 Plan: digests are made where the text is read and only 32-byte digests are shuffled. Spark's partial aggregation
-collapses the copies in each map task before the shuffle, so a group that holds a third of all rows reaches the index
-as one row a task. The digests are dealt to tasks by hash, sorted by bucket, and each bucket is indexed on its own,
+collapses the copies in each map task before the shuffle, and the full aggregation decides the row that stays, so every
+digest reaches the index once and the index only passes rows through. The digests are dealt to tasks by hash, sorted by bucket, and each bucket is indexed on its own,
 which bounds memory whatever the input.
 """
 
