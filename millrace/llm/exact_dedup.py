@@ -4,16 +4,18 @@ Texts are equal when they are identical after lower-casing A-Z only; a null text
 row with the largest id stays (a null id is smaller than any other). Rows that repeat both id and text are one
 document: the first of them stays when the id wins. An empty table gives an empty result.
 
-Plan: digests are made where the text is read and only 32-byte digests are shuffled. Spark's partial aggregation
-collapses the copies in each map task before the shuffle, and the full aggregation decides the row that stays, so every
-digest reaches the index once and the index only passes rows through. The digests are dealt to tasks by hash, sorted by bucket, and each bucket is indexed on its own,
-which bounds memory whatever the input.
+Plan: digests are made where the text is read and only 32-byte digests are shuffled. Each map task collapses the copies
+among its own rows, so that a group of any size is a few rows a task. These are dealt to tasks by hash, come bucket by
+bucket, and each bucket has an index of its own, which bounds memory whatever the input. The index decides: a digest
+that it does not hold is inserted; one that it holds is a hit, and where the new row's id is larger, the live digest is
+deleted and inserted anew for that row. Tables that are too full double.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,6 +25,8 @@ from ._common import identity, kept, only_listed, parts, utf8
 
 #: Digests in a bucket, on average: one index holds about so many.
 BUCKET_ROWS = 1 << 16
+#: Digests that a map task holds while it collapses copies.
+COLLAPSE_ROWS = 1 << 16
 
 
 class CuckooIndex:
@@ -113,29 +117,42 @@ class CuckooIndex:
                 return
 
 
+@dataclass
+class Live:
+    """The live row of a digest: its id and row number, the rows with the digest, and what the index did for it."""
+
+    row_id: int | None
+    row: int
+    count: int
+    hits: int = 0
+    replaced: int = 0
+
+
 class LiveDigests:
-    """The live row of every digest: a larger id takes the place of the one that is live."""
+    """The live row of every digest: a larger id takes the place of the one that is live, of equal ids the first row."""
 
-    def __init__(self):
-        self.index = CuckooIndex()
-        self.rows: dict[int, tuple[int | None, int]] = {}
+    def __init__(self, capacity: int = 64):
+        self.index = CuckooIndex(capacity)
+        self.rows: dict[int, Live] = {}
 
-    def add(self, digest: bytes, length: int, row_id: int | None, count: int) -> None:
+    def add(self, digest: bytes, length: int, row_id: int | None, row: int, count: int) -> None:
         record = self.index.find(digest, length)
         if record is None:
-            self.rows[self.index.insert(digest, length)] = (row_id, count)
+            self.rows[self.index.insert(digest, length)] = Live(row_id, row, count)
             return
-        live, seen = self.rows[record]
-        if row_id is not None and (live is None or row_id > live):
+        live = self.rows[record]
+        live.count += count
+        live.hits += 1
+        before = (live.row_id is not None, live.row_id or 0, -live.row)
+        if (row_id is not None, row_id or 0, -row) > before:
             self.index.delete(digest, length)
             del self.rows[record]
-            self.rows[self.index.insert(digest, length)] = (row_id, seen + count)
-        else:
-            self.rows[record] = (live, seen + count)
+            live.row_id, live.row, live.replaced = row_id, row, live.replaced + 1
+            self.rows[self.index.insert(digest, length)] = live
 
-    def live(self) -> Iterator[tuple[bytes, int, int | None, int]]:
-        for record, (row_id, count) in self.rows.items():
-            yield (*self.index.records[record], row_id, count)
+    def live(self) -> Iterator[tuple]:
+        for record, live in self.rows.items():
+            yield self.index.records[record][0], live.row_id, live.row, live.count, live.hits, live.replaced
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -153,51 +170,78 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return source.mapInArrow(digest, "mr_id long, mr_mark long, digest binary, length long")
 
 
-def live_rows(marked: DataFrame) -> DataFrame:
-    """digest, keep_id, group_size: the row that stays of each group in `marked` (digest, length, mr_id), through the index."""
-    groups = marked.groupBy("digest", "length").agg(F.max("mr_id").alias("row_id"), F.count("*").alias("n"))
-    rows = groups.withColumn("bucket", F.conv(F.substring(F.hex("digest"), 17, 8), 16, 10).cast("long"))
-    buckets = F.greatest(F.lit(1), F.ceil(F.lit(marked.count() / BUCKET_ROWS)))
-    rows = rows.withColumn("bucket", F.pmod("bucket", buckets)).repartition("bucket", F.substring("digest", 9, 2)).sortWithinPartitions("bucket", "digest", "row_id")
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(live: LiveDigests) -> Iterator[pa.RecordBatch]:
-            found = list(live.live())
-            if found:
-                columns = list(zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.int64())], ["digest", "keep_id", "group_size"])
+def marks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """digests() written down, each row with a number of its own."""
+    return kept(digests(docs, id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
+
+
+def collapsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the rows of one task, one for each digest among COLLAPSE_ROWS of them: what is shuffled of a group of copies."""
+    seen: dict[tuple[bytes, int], list] = {}
+
+    def out() -> pa.RecordBatch:
+        keys, values = list(seen), list(seen.values())
+        return pa.RecordBatch.from_arrays(
+            [pa.array([k[0] for k in keys], pa.binary()), pa.array([k[1] for k in keys], pa.int64()), *(pa.array([v[i] for v in values], pa.int64()) for i in range(3))], ["digest", "length", "row_id", "row", "n"]
+        )
+
+    for batch in batches:
+        for digest, length, row_id, row in zip(*(batch.column(c).to_pylist() for c in ("digest", "length", "mr_id", "row")), strict=True):
+            now = seen.get((digest, length))
+            if now is None:
+                if len(seen) >= COLLAPSE_ROWS:
+                    yield out()
+                    seen.clear()
+                seen[digest, length] = [row_id, row, 1]
+            else:
+                now[2] += 1
+                if (row_id is not None, row_id or 0, -row) > (now[0] is not None, now[0] or 0, -now[1]):
+                    now[:2] = row_id, row
+    if seen:
+        yield out()
+
+
+def indexed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that come bucket by bucket, through an index for each bucket: its live rows."""
+
+    def out(live: LiveDigests) -> Iterator[pa.RecordBatch]:
+        found = list(live.live())
+        if found:
+            columns = list(zip(*found, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.binary()), *(pa.array(c, pa.int64()) for c in columns[1:])], ["digest", "keep_id", "keep_row", "group_size", "hits", "replaced"])
+
+    here, live = None, LiveDigests()
+    for batch in batches:
+        for digest, length, row_id, row, n, bucket in zip(*(batch.column(c).to_pylist() for c in ("digest", "length", "row_id", "row", "n", "bucket")), strict=True):
+            if bucket != here:
+                yield from out(live)
+                here, live = bucket, LiveDigests()
+            live.add(digest, length, row_id, row, n)
+    yield from out(live)
 
-        here, live = None, LiveDigests()
-        for batch in batches:
-            for digest, length, row_id, n, bucket in zip(*(batch.column(c).to_pylist() for c in ("digest", "length", "row_id", "n", "bucket")), strict=True):
-                if bucket != here:
-                    yield from out(live)
-                    here, live = bucket, LiveDigests()
-                live.add(digest, length, row_id, n)
-        yield from out(live)
 
-    return rows.mapInArrow(index, "digest binary, keep_id long, group_size long")
+def live_rows(marked: DataFrame) -> DataFrame:
+    """digest, keep_id, keep_row, group_size, hits, replaced: the row that stays of each group in `marked` (digest, length,
+    mr_id, row), and how often the index found the digest and put another row in its place."""
+    rows = marked.select("digest", "length", "mr_id", "row").mapInArrow(collapsed, "digest binary, length long, row_id long, row long, n long")
+    buckets = F.greatest(F.lit(1), F.ceil(F.lit(marked.count() / BUCKET_ROWS)))
+    rows = rows.withColumn("bucket", F.pmod(F.conv(F.substring(F.hex("digest"), 17, 8), 16, 10).cast("long"), buckets))
+    rows = rows.repartition("bucket", F.substring("digest", 9, 2)).sortWithinPartitions("bucket")
+    return rows.mapInArrow(indexed, "digest binary, keep_id long, keep_row long, group_size long, hits long, replaced long")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    marked = kept(digests(docs, id_col, text_col))
-    live = live_rows(marked)
-    one = marked.groupBy("mr_id", "digest").agg(F.count("*").alias("times"))
-    rows = one.join(live, "digest")
-    first = F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("time")
-    rows = rows.select("mr_id", "digest", "keep_id", "group_size", first)
-    return rows.select(
-        F.col("mr_id").alias("doc_id"), "keep_id", "group_size", (F.col("mr_id").eqNullSafe(F.col("keep_id")) & (F.col("time") == 1)).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
+    marked = marks(docs, id_col, text_col)
+    live = live_rows(marked).drop("hits", "replaced")
+    return marked.join(live, "digest").select(
+        F.col("mr_id").alias("doc_id"), "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256")
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the copies, all columns kept."""
-    marked = kept(digests(docs, id_col, text_col))
-    live = live_rows(marked).alias("v")
-    m = marked.alias("m")
-    stay = m.join(live, (F.col("m.digest") == F.col("v.digest")) & F.col("m.mr_id").eqNullSafe(F.col("v.keep_id")), "left_semi")
-    # rows of one id may differ in case only: they are one document, and the larger mark stays
-    stay = stay.groupBy("mr_id", "digest").agg(F.max("mr_mark").alias("mr_mark"))
+    marked = marks(docs, id_col, text_col)
+    live = live_rows(marked).select("keep_row")
+    stay = marked.join(live, F.col("row") == F.col("keep_row"), "left_semi")
     return only_listed(docs, stay.select("mr_id", "mr_mark"), id_col, text_col)

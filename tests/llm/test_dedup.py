@@ -4,6 +4,7 @@ import random
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, line_dedup, near_copies, simhash
 from millrace.llm.components import components
@@ -44,6 +45,30 @@ def test_exact_dedup(spark, docs, odd):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect()) == [2, 3, 5, 6, 7, 8]
 
 
+def test_the_index_decides(spark, docs, monkeypatch):
+    draw = random.Random(8)
+    rows = [(draw.choice([None, *range(400)]), f"text {draw.randrange(60)}") for _ in range(1500)]
+    table = docs(*rows).repartition(7)
+    marked = exact_dedup.marks(table, "doc_id", "text")
+    found = exact_dedup.live_rows(marked).toPandas()
+    assert found.hits.sum() > 60 and found.replaced.sum() > 10 and found.group_size.sum() == 1500
+    told = marked.select("digest", "length", F.col("mr_id").alias("row_id"), "row", F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("bucket")).toArrow()
+    live = exact_dedup.LiveDigests(8)
+    for digest, length, row_id, row, n, _ in zip(*(c.to_pylist() for c in told.columns)):
+        live.add(digest, length, row_id, row, n)
+    assert live.index.resizes > 0
+    assert {(d, k, n) for d, k, _, n, *_ in live.live()} == {(bytes(d), None if k != k else int(k), n) for d, k, n in zip(found.digest, found.keep_id, found.group_size)}
+    # without the index nothing is found: every row would be a group of its own
+    monkeypatch.setattr(exact_dedup.CuckooIndex, "find", lambda *_: None)
+    monkeypatch.setattr(exact_dedup.CuckooIndex, "insert", lambda *_, n=iter(range(10**6)): next(n))
+    blind = exact_dedup.LiveDigests()
+    for digest, length, row_id, row, n, _ in zip(*(c.to_pylist() for c in told.columns)):
+        blind.add(digest, length, row_id, row, n)
+    assert len(blind.rows) == 1500
+    out = exact_dedup.exact_dedup(table).toPandas()
+    assert out.kept.sum() == len({t for _, t in rows}) and (out.groupby("text_sha256").kept.sum() == 1).all()
+
+
 def plain_fingerprint(text):
     lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
     words = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", lowered) if w]
