@@ -96,24 +96,35 @@ def only_listed(docs: DataFrame, listed: DataFrame, id_col: str = "doc_id", text
 
 
 class Marks:
-    """A bitmap of fixed size over the keys of a table: it tells most other keys apart, never one of its own."""
+    """A bitmap over the keys of a table: it tells most other keys apart, never one of its own.
 
-    WORDS = 1 << 16
+    Its size follows the number of keys, a byte a key, up to MOST words of 64 bits. Beyond two keys a byte it would tell
+    little apart: every key passes, and the join that follows decides (at that size Spark makes it a Bloom-filter join).
+    """
+
+    LEAST, MOST = 1 << 10, 1 << 17
 
     def __init__(self, keys: DataFrame, *columns: str):
         self.columns = columns
-        words = [0] * self.WORDS
+        n = keys.count()
+        self.size = min(self.MOST, max(self.LEAST, 1 << (max(1, n) - 1).bit_length() >> 3))
+        self.words = None
+        if n > 16 * self.size:
+            return
+        words = [0] * self.size
         marked = keys.groupBy(self._word().alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), self._bit())).alias("bits"))
-        for k, bits in marked.toLocalIterator():  # WORDS rows at most
+        for k, bits in marked.toLocalIterator():  # MOST rows at most
             words[k] = bits
         # written as text, which Spark folds into one literal
         self.words = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
 
     def _word(self) -> Column:
-        return F.pmod(F.xxhash64(*self.columns), F.lit(self.WORDS)).cast("int")
+        return F.pmod(F.xxhash64(*self.columns), F.lit(self.size)).cast("int")
 
     def _bit(self) -> Column:
         return F.pmod(F.hash(*self.columns), F.lit(64)).cast("int")
 
     def has(self) -> Column:
+        if self.words is None:
+            return F.lit(True)
         return F.get(self.words, self._word()).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), self._bit())) != 0

@@ -1,46 +1,53 @@
 """Line dedup by an exact set-similarity join; DataFrame operations only.
 
 A line is the set of its words (white space parts them, case does not count). Two lines match when their sets have a
-Jaccard similarity of THRESHOLD or more. A line is removed when it matches a line that comes before it by document id
-and line number, be that one removed or not. Lines without words stay. Null texts are empty; null ids come first; rows
-that repeat an id are one document. An empty table gives no rows.
+Jaccard similarity of THRESHOLD or more. A line is removed when it matches a line that comes before it by document id,
+mark of the text and line number, be that one removed or not. Lines without words stay. Null texts are empty; null ids
+come first; rows that repeat an id and a text are one document, rows that repeat an id only are several. Columns may
+have any names. An empty table gives no rows.
 
 Plan. Words are ordered by rarity: a table of BUCKETS counts, whatever the corpus, ranks a word by the logarithm of its
-bucket's count and then by its hash. That order is total and the same everywhere, so prefix filtering is exact. Equal
-sets become one row before anything is joined. Two matching lines share one of their rarest words, those of the prefix
-(n - ceil(t n) + 1 of n words); pairs that do are filtered by length, by position in the prefix, and by the parity
-bitmaps of their words, which never differ in more bits than the sets in words. What is left is verified on the words.
-
-Words that many lines have in their prefix come from groups of near copies. There, the lines of each list are first
-compared with the list's earliest line only; those that match it are settled. The full join then asks about lines that
-are not settled, so a group of near copies is not multiplied into all its pairs.
+bucket's count and then by its 64-bit hash. That order is total and the same everywhere, so prefix filtering is exact.
+Equal sets (by a 64-bit key of all words, size and bitmap) become one row before anything is joined. Two matching sets
+share one of their rarest words, those of the prefix (n - ceil(t n) + 1 of n words); pairs that do are filtered by
+length, by position in the prefix, and by the parity bitmaps of their words, which never differ in more bits than the
+sets in words. A posting is four numbers; what is left is verified on the words, for which only lines in question are
+fetched.
+
+Words that many lines have in their prefix come from groups of near copies. They are found on a sample of the sets
+(which decides what is done first, never what is found). The sets of such a list are first compared with the list's
+earliest one; those that match it are settled, and the full join then asks about the others only, so a group of near
+copies is not multiplied into all its pairs.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Marks, kept, written
+from ._common import Marks, identity, kept, written
 
 THRESHOLD = 0.8
-BUCKETS, HOT, SALT_ROWS = 1 << 18, 256, 16_384
+#: Counts of the rarity table; one set in SAMPLE is asked for hot words, of which HOT of these have each.
+BUCKETS, SAMPLE, HOT = 1 << 16, 32, 8
+_PLACE = ("doc", "mark", "pos")
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc, pos, line: the lines that have words, lower-cased."""
-    line = F.posexplode(F.split(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), "\n")).alias("pos", "line")
-    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), line).where(F.col("line").rlike(r"\S"))
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc, mark, text: lower-cased, white space but line ends made spaces."""
+    raw = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    spaced = F.when(F.contains(raw, F.lit("\t")) | F.contains(raw, F.lit("\r")) | F.contains(raw, F.lit("\f")) | F.contains(raw, F.lit("\x0b")), F.translate(raw, "\t\r\f\x0b", "    ")).otherwise(raw)
+    return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), identity(F.col(f"`{text_col}`")).alias("mark"), F.lower(spaced).alias("text"))
 
 
-def _words() -> Column:
-    """The words of column line; an empty one before a leading space is taken out."""
-    return F.array_remove(F.split("line", r"[ \t\r\f\x0b]+"), "")
+def _lines(texts: DataFrame) -> DataFrame:
+    """doc, mark, pos, line: the lines that have words."""
+    return texts.select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
 
 
-def _numbers(values: list[int], kind: str) -> Column:
+def _numbers(values: list[int]) -> Column:
     """A constant array; written as text, which Spark folds into one literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
 
 
 def _shifted(value: Column | int, by: Column) -> Column:
@@ -48,21 +55,26 @@ def _shifted(value: Column | int, by: Column) -> Column:
 
 
 def _rarity(lines: DataFrame) -> Column:
-    """Constant array: for each bucket of words, ten times the logarithm of its count in lines."""
-    words = lines.select(F.explode(_words()).alias("w")).select(F.pmod(F.hash("w"), F.lit(BUCKETS)).alias("bucket"))
+    """Constant array: for each bucket of words, six times the logarithm of its count in lines, in the highest eight bits."""
+    words = lines.select(F.explode(F.split("line", " ")).alias("w")).select(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("bucket"))
     counts = [0] * BUCKETS
-    for bucket, n in words.groupBy("bucket").agg(F.round(F.log2(F.count("*") + 1) * 10).cast("int").alias("n")).toLocalIterator():
-        counts[bucket] = n  # BUCKETS rows at most
-    return _numbers(counts, "int")
+    for bucket, n in words.groupBy("bucket").agg(F.count("*").alias("n")).select("bucket", F.least(F.round(F.log2(F.col("n") + 1) * 6), F.lit(255)).cast("int")).toLocalIterator():
+        counts[bucket] = n << 55  # BUCKETS rows at most
+    return _numbers(counts)
 
 
 def _least_overlap(n: Column, m: Column) -> Column:
     return F.ceil((n + m) * (THRESHOLD / (1 + THRESHOLD)) - 1e-9)
 
 
+def _size(side: str) -> Column:
+    return F.shiftright(f"{side}at", 32)
+
+
 def _may_match(a: str, b: str) -> Column:
-    """Length, position and bitmap filters; a and b prefix the columns n, p (from 0) and bits."""
-    n, m, p, q = F.col(f"{a}n"), F.col(f"{b}n"), F.col(f"{a}p"), F.col(f"{b}p")
+    """Length, position and bitmap filters; a and b prefix the columns at (size, then place in the prefix) and bits."""
+    n, m = _size(a), _size(b)
+    p, q = (F.col(f"{s}at").bitwiseAND(0xFFFFFFFF) for s in (a, b))
     least = _least_overlap(n, m)
     return (
         (F.least(n, m) >= F.greatest(n, m) * THRESHOLD - 1e-9)
@@ -71,90 +83,87 @@ def _may_match(a: str, b: str) -> Column:
     )
 
 
-def _verified(pairs: DataFrame, lines: DataFrame) -> DataFrame:
-    """doc, pos of the later lines in `pairs` (x_doc, x_pos, y_doc, y_pos) that are similar enough to the earlier ones.
-
-    Only the words of lines in question are fetched.
-    """
-    pairs = kept(pairs.select("x_doc", "x_pos", "y_doc", "y_pos").distinct())
-    place = lambda side: pairs.select(F.col(f"{side}_doc").alias("doc"), F.col(f"{side}_pos").alias("pos"))
-    asked = kept(place("x").unionByName(place("y")).distinct())
-    told = lines.where(Marks(asked, "doc", "pos").has()).join(asked.select(F.col("doc").alias("d"), F.col("pos").alias("p")), F.col("doc").eqNullSafe(F.col("d")) & (F.col("pos") == F.col("p")), "left_semi")
-    told = kept(told.select("doc", "pos", F.array_distinct(_words()).alias("words")))
-    of = lambda side: told.select(*(F.col(c).alias(f"{side}{c}") for c in ("doc", "pos", "words")))
-    same = lambda side, t: F.col(f"{side}_doc").eqNullSafe(F.col(f"{t}doc")) & (F.col(f"{side}_pos") == F.col(f"{t}pos"))
-    found = pairs.join(of("a"), same("x", "a")).join(of("b"), same("y", "b"))
-    common = F.size(F.array_intersect("awords", "bwords"))
-    found = found.where(common >= THRESHOLD * (F.size("awords") + F.size("bwords") - common) - 1e-9)
-    return kept(found.select(F.col("x_doc").alias("doc"), F.col("x_pos").alias("pos")).distinct())
+def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """key of the later set of each pair in `pairs` (x, y: keys) that are similar enough."""
+    pairs = kept(pairs.select("x", "y").distinct())
+    asked = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
+    asked = kept(sets.join(asked, "key", "left_semi").select("key", *_PLACE))
+    lines = _lines(texts.where(Marks(asked, "doc", "mark").has())).where(Marks(asked, *_PLACE).has())
+    place = asked.select("key", *(F.col(c).alias(f"a_{c}") for c in _PLACE))
+    told = lines.join(place, F.col("doc").eqNullSafe(F.col("a_doc")) & (F.col("mark") == F.col("a_mark")) & (F.col("pos") == F.col("a_pos")))
+    told = kept(told.select("key", *_PLACE, "line").dropDuplicates(["key"]))
+    of = lambda side: told.select(F.col("key").alias(side), F.struct(*_PLACE).alias(f"{side}_place"), F.col("line").alias(f"{side}_line"))
+    found = pairs.join(of("x"), "x").join(of("y"), "y")
+    words = lambda side: F.array_distinct(F.array_remove(F.split(f"{side}_line", " "), ""))
+    found = found.select("x", "y", "x_place", "y_place", words("x").alias("a"), words("y").alias("b"))
+    common = F.size(F.array_intersect("a", "b"))
+    found = found.where(common >= THRESHOLD * (F.size("a") + F.size("b") - common) - 1e-9)
+    return written(found.select(F.when(F.col("x_place") > F.col("y_place"), F.col("x")).otherwise(F.col("y")).alias("key")).distinct())
 
 
-def _before(y: str, x: str) -> Column:
-    """Place y comes before place x; a null id comes first."""
-    a, b = F.col(f"{y}doc"), F.col(f"{x}doc")
-    return F.when(a.eqNullSafe(b), F.col(f"{y}pos") < F.col(f"{x}pos")).when(a.isNull(), True).when(b.isNull(), False).otherwise(a < b)
+def _postings(sets: DataFrame, *more: str) -> DataFrame:
+    """token, key, at (size and place in the prefix), bits."""
+    return sets.select("key", "n", "bits", *more, F.posexplode("prefix").alias("p", "token")).select("token", "key", (_shifted(F.col("n").cast("long"), F.lit(32)) + F.col("p")).alias("at"), "bits", *more)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, removed: the sorted numbers (from 0) of the lines to remove, for documents that have any."""
-    lines = _lines(docs, id_col, text_col)
-    rarity = _rarity(lines)
-    # a word's rank: rarity in the high half, hash in the low one; 31 bits of the hash, of which BUCKETS takes the lowest, name it
-    rank = lambda h: _shifted(F.get(rarity, F.pmod(h, F.lit(BUCKETS))).cast("long"), F.lit(32)) + h.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
-    told = lines.select("doc", "pos", F.array_distinct(_words()).alias("words"))
-    told = told.select("doc", "pos", F.size("words").alias("n"), F.xxhash64(F.sort_array("words")).alias("key"), F.sort_array(F.transform("words", lambda w: rank(F.hash(w)))).alias("ranks"))
-    bits = F.aggregate("ranks", F.lit(0).cast("long"), lambda a, r: a.bitwiseXOR(_shifted(1, F.shiftright(r, 20).cast("int").bitwiseAND(63))))
-    prefix = F.slice("ranks", 1, (F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9) + 1).cast("int"))
-    here = written(told.select("doc", "pos", "key", "n", bits.alias("bits"), F.transform(prefix, lambda r: r.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix")))
+    """doc, mark, n_lines (that have words), removed (the sorted numbers, from 0, of the lines to remove), for documents
+    that have lines with words."""
+    texts = _texts(docs, id_col, text_col)
+    rarity = _rarity(_lines(texts))
+    hashes = F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+    rank = lambda h: F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")) + h.bitwiseAND((1 << 55) - 1)
+    told = _lines(texts).select(*_PLACE, F.sort_array(F.transform(hashes, rank)).alias("ranks"))
+    bits = F.aggregate("ranks", F.lit(0).cast("long"), lambda a, r: a.bitwiseXOR(_shifted(1, F.shiftright(r, 20).bitwiseAND(63).cast("int"))))
+    n = F.size("ranks")
+    here = written(told.select(*_PLACE, n.alias("n"), F.xxhash64("ranks").alias("key"), bits.alias("bits"), F.slice("ranks", 1, (n - F.ceil(n * THRESHOLD - 1e-9) + 1).cast("int")).alias("prefix")))
 
     # equal sets are one: that of the first place
-    sets = here.groupBy("key", "n", "bits", "prefix").agg(F.min(F.struct("doc", "pos")).alias("at"), F.count("*").alias("times"))
-    sets = written(sets.select("key", "at.doc", "at.pos", "times", "n", "bits", "prefix"))
-    columns = ["doc", "pos", "n", "bits", "p"]
-
-    # lists of frequent words: settle what matches the earliest line of its list
-    weight = F.get(rarity, F.pmod("token", F.lit(BUCKETS)))
-    posted = sets.select("doc", "pos", "n", "bits", F.posexplode("prefix").alias("p", "token"))
-    salt = F.pmod("bits", F.ceil(F.pow(F.lit(2.0), weight / 10) / SALT_ROWS))
-    early = Window.partitionBy("token", salt).orderBy("doc", "pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    led = posted.where(weight >= 10 * (HOT.bit_length() - 1)).withColumn("first", F.first(F.struct(*columns)).over(early))
-    led = led.select(*(F.col(c).alias(f"x_{c}") for c in columns), *(F.col(f"first.{c}").alias(f"y_{c}") for c in columns))
-    settled = _verified(led.where(_before("y_", "x_") & _may_match("x_", "y_")), lines)
-
-    # the join asks about the others; few sets have to be looked up among the settled
-    maybe = Marks(settled, "doc", "pos").has()
-    done = settled.select(F.col("doc").alias("d"), F.col("pos").alias("q"), F.lit(True).alias("done"))
-    sure = sets.where(~maybe).select("doc", "pos", "n", "bits", "prefix", F.lit(False).alias("done"))
-    unsure = sets.where(maybe).join(done, F.col("doc").eqNullSafe(F.col("d")) & (F.col("pos") == F.col("q")), "left").select("doc", "pos", "n", "bits", "prefix", F.coalesce("done", F.lit(False)).alias("done"))
-    posted = sure.unionByName(unsure).select("doc", "pos", "n", "bits", "done", F.posexplode("prefix").alias("p", "token"))
-    x, y = (posted.select(*(F.col(c).alias(f"{side}_{c}") for c in ("token", "done", *columns))) for side in "xy")
-    # asked of both sides, so that it is not pushed to one: both then read one exchange
-    asks = ~F.col("x_done") | (F.col("y_n") < 0)
-    pairs = x.join(y, F.col("x_token") == F.col("y_token")).where(asks & _before("y_", "x_") & _may_match("x_", "y_"))
-    late = _verified(pairs, lines)
+    sets = here.groupBy("key", "n", "bits").agg(F.min(F.struct(*_PLACE)).alias("at"), F.first("prefix").alias("prefix"))
+    sets = written(sets.select("key", *(f"at.{c}" for c in _PLACE), "n", "bits", "prefix"))
+
+    # lists of frequent words: settle what matches the earliest set of its list
+    seen = _postings(sets.where(F.pmod("key", F.lit(SAMPLE)) == 0)).groupBy("token").count()
+    hot = written(seen.where(F.col("count") >= HOT).select("token"))
+    first = F.min(F.struct(*_PLACE, "key", "at", "bits")).alias("f")
+    leaders = written(_postings(sets, *_PLACE).join(hot, "token").groupBy("token").agg(first).select("token", F.col("f.key").alias("y"), F.col("f.at").alias("y_at"), F.col("f.bits").alias("y_bits")))
+    led = _postings(sets).select("token", F.col("key").alias("x"), F.col("at").alias("x_at"), F.col("bits").alias("x_bits")).join(leaders, "token")
+    settled = _verified(led.where((F.col("x") != F.col("y")) & _may_match("x_", "y_")), sets, texts)
+
+    # the join asks about the others
+    posted = _postings(sets.join(settled.withColumn("done", F.lit(True)), "key", "left"), "done")
+    x, y = (posted.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("key", "at", "bits", "done"))).withColumnRenamed("token", f"{side}_token") for side in "xy")
+    # each pair once, the larger set as x; asked of both sides, so that it is not pushed to one and both read one exchange
+    once = (F.col("x_at") >= F.col("y_at")) & (F.col("x_key") != F.col("y_key"))
+    asks = F.col("x_done").isNull() | F.col("y_done").isNull()
+    pairs = x.join(y, F.col("x_token") == F.col("y_token")).where(once & asks & _may_match("x_", "y_"))
+    late = _verified(pairs.select(F.col("x_key").alias("x"), F.col("y_key").alias("y")), sets, texts)
 
     # a set's lines go if the set is late, or if they are not its first
-    gone = settled.unionByName(late).select(F.col("doc").alias("d"), F.col("pos").alias("q"))
-    verdict = sets.select("key", "doc", "pos", "times").join(gone.withColumn("late", F.lit(True)), F.col("doc").eqNullSafe(F.col("d")) & (F.col("pos") == F.col("q")), "left")
-    verdict = kept(verdict.where("late or times > 1").select("key", F.col("doc").alias("d"), F.col("pos").alias("q"), F.coalesce("late", F.lit(False)).alias("late")))
-    cut = here.select("doc", "pos", "key").join(verdict, "key").where(F.col("late") | ~(F.col("doc").eqNullSafe(F.col("d")) & (F.col("pos") == F.col("q"))))
-    return cut.groupBy("doc").agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+    gone = settled.unionByName(late).distinct().withColumn("late", F.lit(True))
+    many = here.groupBy("key").agg(F.count("*").alias("times")).where("times > 1").select("key")
+    asked = written(many.unionByName(gone.select("key")).distinct())
+    verdict = sets.join(asked, "key", "left_semi").join(gone, "key", "left").select("key", F.struct(*_PLACE).alias("first"), F.coalesce("late", F.lit(False)).alias("late"))
+    rows = here.select("key", *_PLACE).join(verdict, "key", "left")
+    out = F.col("late") | (F.col("first") != F.struct(*_PLACE))
+    return rows.groupBy("doc", "mark").agg(F.size(F.collect_set("pos")).alias("n_lines"), F.sort_array(F.collect_set(F.when(out, F.col("pos")))).alias("removed"))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: doc_id, n_lines (with words), n_removed, removed (line numbers from 0, sorted)."""
+    """One row per row of docs: doc_id, n_lines (with words), n_removed, removed (line numbers from 0, sorted), text_mark
+    (tells rows of one id apart)."""
     removed = removed_lines(docs, id_col, text_col)
-    some = F.size(F.filter(F.split(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), "\n"), lambda x: x.rlike(r"\S")))
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), some.alias("n_lines"))
-    rows = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("doc")), "left")
-    none = F.array().cast("array<int>")
-    return rows.select("doc_id", "n_lines", F.size(F.coalesce("removed", none)).alias("n_removed"), F.coalesce("removed", none).alias("removed"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), identity(F.col(f"`{text_col}`")).alias("text_mark"))
+    rows = rows.join(removed, F.col("doc_id").eqNullSafe(F.col("doc")) & (F.col("text_mark") == F.col("mark")), "left")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return rows.select("doc_id", F.coalesce("n_lines", F.lit(0)).alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed"), "text_mark")
 
 
 def cleaned(docs: DataFrame, removed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the removed lines (a table of doc_id and removed) taken out of the texts, all columns kept."""
-    gone = removed.where(F.size("removed") > 0).select(F.col("doc_id").alias("mr_id"), F.col("removed").alias("mr_removed")).dropDuplicates(["mr_id"])
-    rows = docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col("mr_id")), "left")
-    lines = F.filter(F.split(F.col(f"`{text_col}`"), "\n"), lambda _, i: ~F.array_contains("mr_removed", i))
-    text = F.when(F.col("mr_removed").isNull(), F.col(f"`{text_col}`")).otherwise(F.array_join(lines, "\n"))
-    return rows.select(*(text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    """docs with the removed lines (what line_dedup() returns) taken out of the texts, all columns kept."""
+    gone = removed.where(F.size("removed") > 0).select("doc_id", "text_mark", "removed").dropDuplicates(["doc_id", "text_mark"]).alias("g")
+    here, text = docs.alias("d"), F.col(f"d.`{text_col}`")
+    rows = here.join(gone, F.col(f"d.`{id_col}`").eqNullSafe(F.col("g.doc_id")) & (identity(text) == F.col("g.text_mark")), "left")
+    lines = F.filter(F.split(text, "\n"), lambda _, i: ~F.array_contains("g.removed", i))
+    text = F.when(F.col("g.removed").isNull(), text).otherwise(F.array_join(lines, "\n"))
+    return rows.select(*(text.alias(c) if c == text_col else F.col(f"d.`{c}`") for c in docs.columns))

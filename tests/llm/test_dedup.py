@@ -206,9 +206,10 @@ def plain_line_dedup(rows):
     return out
 
 
-@pytest.mark.parametrize("hot", [2, 256])
-def test_line_dedup(spark, docs, monkeypatch, hot):
+@pytest.mark.parametrize(("hot", "sample"), [(2, 1), (8, 32)])
+def test_line_dedup(spark, docs, monkeypatch, hot, sample):
     monkeypatch.setattr(line_dedup, "HOT", hot)
+    monkeypatch.setattr(line_dedup, "SAMPLE", sample)
     draw = random.Random(hot)
     lines = [" ".join(f"t{draw.randrange(40)}" for _ in range(draw.randrange(1, 25))) for _ in range(60)]
     rows = [(i, "\n".join(edited(x.split(), draw, draw.randrange(0, 2)) if draw.random() < 0.6 else x.upper() for x in draw.choices(lines, k=draw.randrange(0, 6)))) for i in range(80)]
@@ -221,6 +222,16 @@ def test_line_dedup(spark, docs, monkeypatch, hot):
     assert line_dedup.line_dedup(docs()).count() == 0
 
 
+def test_line_dedup_of_rows_that_repeat_an_id(spark, docs):
+    table = docs((1, "aaa bbb ccc"), (5, "AAA bbb\tccc"), (5, "xxx yyy zzz"), (5, "xxx yyy zzz"), (None, "q r s")).withColumn("mr_id", F.lit(3)).withColumn("text_mark", F.lit("m"))
+    out = line_dedup.line_dedup(table)
+    got = sorted((r.doc_id or 0, r.n_lines, tuple(r.removed)) for r in out.collect())
+    assert got == [(0, 1, ()), (1, 1, ()), (5, 1, ()), (5, 1, ()), (5, 1, (0,))]
+    left = line_dedup.cleaned(table, out)
+    assert left.columns == table.columns
+    assert sorted((r.doc_id or 0, r.text) for r in left.collect()) == [(0, "q r s"), (1, "aaa bbb ccc"), (5, ""), (5, "xxx yyy zzz"), (5, "xxx yyy zzz")]
+
+
 def test_line_dedup_of_odd_rows(spark, odd):
     got = {(r.doc_id, tuple(r.removed)) for r in line_dedup.line_dedup(odd).collect()}
     assert (None, ()) in got and (4, (0,)) in got and (5, (0,)) in got and (1, ()) in got  # a null id comes first
