@@ -11,8 +11,8 @@ bucket's count and then by its 64-bit hash. That order is total and the same eve
 Equal sets (by a 64-bit key of all words, size and bitmap) become one row before anything is joined. Two matching sets
 share one of their rarest words, those of the prefix (n - ceil(t n) + 1 of n words); pairs that do are filtered by
 length, by position in the prefix, and by the parity bitmaps of their words, which never differ in more bits than the
-sets in words. A posting is four numbers; what is left is verified on the words, for which only lines in question are
-fetched.
+sets in words. A posting is four numbers; what is left is verified on the 64-bit hashes of all words, for which only
+lines in question are fetched.
 
 Words that many lines have in their prefix come from groups of near copies. They are found on a sample of the sets
 (which decides what is done first, never what is found). The sets of such a list are first compared with the list's
@@ -45,6 +45,11 @@ def _lines(texts: DataFrame) -> DataFrame:
     return texts.select("doc", "mark", F.posexplode(F.split("text", "\n")).alias("pos", "line")).where(F.trim("line") != "")
 
 
+def _hashes() -> Column:
+    """The 64-bit hashes of the distinct words of column line."""
+    return F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
+
+
 def _numbers(values: list[int]) -> Column:
     """A constant array; written as text, which Spark folds into one literal."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
@@ -84,21 +89,35 @@ def _may_match(a: str, b: str) -> Column:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """key of the later set of each pair in `pairs` (x, y: keys) that are similar enough."""
+    """key of the later set of each pair in `pairs` (x, y: keys) that are similar enough.
+
+    A set's earliest partner is asked first; most sets are settled by it, and only the others are asked about the rest.
+    """
     pairs = kept(pairs.select("x", "y").distinct())
     asked = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
     asked = kept(sets.join(asked, "key", "left_semi").select("key", *_PLACE))
     lines = _lines(texts.where(Marks(asked, "doc", "mark").has())).where(Marks(asked, *_PLACE).has())
     place = asked.select("key", *(F.col(c).alias(f"a_{c}") for c in _PLACE))
     told = lines.join(place, F.col("doc").eqNullSafe(F.col("a_doc")) & (F.col("mark") == F.col("a_mark")) & (F.col("pos") == F.col("a_pos")))
-    told = kept(told.select("key", *_PLACE, "line").dropDuplicates(["key"]))
-    of = lambda side: told.select(F.col("key").alias(side), F.struct(*_PLACE).alias(f"{side}_place"), F.col("line").alias(f"{side}_line"))
-    found = pairs.join(of("x"), "x").join(of("y"), "y")
-    words = lambda side: F.array_distinct(F.array_remove(F.split(f"{side}_line", " "), ""))
-    found = found.select("x", "y", "x_place", "y_place", words("x").alias("a"), words("y").alias("b"))
-    common = F.size(F.array_intersect("a", "b"))
-    found = found.where(common >= THRESHOLD * (F.size("a") + F.size("b") - common) - 1e-9)
-    return written(found.select(F.when(F.col("x_place") > F.col("y_place"), F.col("x")).otherwise(F.col("y")).alias("key")).distinct())
+    told = written(told.select("key", _hashes().alias("words")).withColumn("n", F.size("words")))
+    at = lambda side: asked.select(F.col("key").alias(side), F.struct(*_PLACE).alias(f"{side}_place"))
+    placed = pairs.join(at("x"), "x").join(at("y"), "y")
+    swap = F.col("x_place") > F.col("y_place")
+    placed = placed.select(F.when(swap, F.col("x")).otherwise(F.col("y")).alias("late"), F.when(swap, F.struct("y_place", "y")).otherwise(F.struct(F.col("x_place").alias("y_place"), F.col("x").alias("y"))).alias("early"))
+    placed = kept(placed)
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """late, of the pairs (late, early: keys) that are similar enough."""
+        of = lambda side, c: told.select(F.col("key").alias(side), F.col("words").alias(c), F.col("n").alias(f"n{c}"))
+        # rows that repeat an id and a text give a line twice; that changes nothing
+        found = pairs.join(of("early", "a"), "early").join(of("late", "b"), "late")
+        return found.where(F.size(F.array_intersect("a", "b")) * (1 + THRESHOLD) >= (F.col("na") + F.col("nb")) * THRESHOLD - 1e-9).select("late").distinct()
+
+    first = placed.groupBy("late").agg(F.min("early").alias("early")).select("late", F.col("early.y").alias("early"))
+    settled = written(similar(first))
+    rest = placed.join(settled, "late", "left_anti").select("late", F.col("early.y").alias("early"))
+    rest = kept(rest.join(first, ["late", "early"], "left_anti"))
+    return written(settled.unionByName(similar(rest)).withColumnRenamed("late", "key"))
 
 
 def _postings(sets: DataFrame, *more: str) -> DataFrame:
@@ -111,12 +130,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that have lines with words."""
     texts = _texts(docs, id_col, text_col)
     rarity = _rarity(_lines(texts))
-    hashes = F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
     rank = lambda h: F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")) + h.bitwiseAND((1 << 55) - 1)
-    told = _lines(texts).select(*_PLACE, F.sort_array(F.transform(hashes, rank)).alias("ranks"))
+    told = _lines(texts).select(*_PLACE, F.sort_array(F.transform(_hashes(), rank)).alias("ranks"))
     bits = F.aggregate("ranks", F.lit(0).cast("long"), lambda a, r: a.bitwiseXOR(_shifted(1, F.shiftright(r, 20).bitwiseAND(63).cast("int"))))
     n = F.size("ranks")
-    here = written(told.select(*_PLACE, n.alias("n"), F.xxhash64("ranks").alias("key"), bits.alias("bits"), F.slice("ranks", 1, (n - F.ceil(n * THRESHOLD - 1e-9) + 1).cast("int")).alias("prefix")))
+    # 31 bits name a word in a list: words that share them share a list, which only makes it longer
+    prefix = F.slice("ranks", 1, (n - F.ceil(n * THRESHOLD - 1e-9) + 1).cast("int"))
+    here = written(told.select(*_PLACE, n.alias("n"), F.xxhash64("ranks").alias("key"), bits.alias("bits"), F.transform(prefix, lambda r: r.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix")))
 
     # equal sets are one: that of the first place
     sets = here.groupBy("key", "n", "bits").agg(F.min(F.struct(*_PLACE)).alias("at"), F.first("prefix").alias("prefix"))
