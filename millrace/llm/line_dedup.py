@@ -30,6 +30,8 @@ from ._common import Marks, identity, kept, written
 THRESHOLD = 0.8
 #: Counts of the rarity table; one set in SAMPLE is asked for hot words, of which HOT of these have each.
 BUCKETS, SAMPLE, HOT = 1 << 16, 32, 8
+#: Parts, of 64 bits each, of the bitmap that pairs pass before their words are compared.
+WIDE = 4
 _PLACE = ("doc", "mark", "pos")
 
 
@@ -50,6 +52,12 @@ def _hashes() -> Column:
     return F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
+def _wide(i: int) -> Column:
+    """The i-th part of a bitmap: the parities of those words of column words that fall into it."""
+    bit = lambda w: F.when(F.shiftright(w, 26).bitwiseAND(WIDE - 1) == i, _shifted(1, F.shiftright(w, 20).bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
+    return F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
+
+
 def _numbers(values: list[int]) -> Column:
     """A constant array; written as text, which Spark folds into one literal."""
     return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
@@ -99,9 +107,13 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     lines = _lines(texts.where(Marks(asked, "doc", "mark").has())).where(Marks(asked, *_PLACE).has())
     place = asked.select("key", *(F.col(c).alias(f"a_{c}") for c in _PLACE))
     told = lines.join(place, F.col("doc").eqNullSafe(F.col("a_doc")) & (F.col("mark") == F.col("a_mark")) & (F.col("pos") == F.col("a_pos")))
-    told = written(told.select("key", _hashes().alias("words")).withColumn("n", F.size("words")))
-    at = lambda side: asked.select(F.col("key").alias(side), F.struct(*_PLACE).alias(f"{side}_place"))
+    told = told.select("key", *_PLACE, _hashes().alias("words"))
+    # a wider bitmap than that of the postings: pairs that are not quite similar go before words are joined
+    told = written(told.select("*", F.size("words").alias("n"), *(_wide(i).alias(f"w{i}") for i in range(WIDE))))
+    at = lambda side: told.select(F.col("key").alias(side), F.struct(*_PLACE).alias(f"{side}_place"), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *(f"w{i}" for i in range(WIDE)))))
     placed = pairs.join(at("x"), "x").join(at("y"), "y")
+    apart = sum((F.bit_count(F.col(f"x_w{i}").bitwiseXOR(F.col(f"y_w{i}"))) for i in range(WIDE)), F.lit(0))
+    placed = placed.where(apart <= F.col("x_n") + F.col("y_n") - 2 * _least_overlap(F.col("x_n"), F.col("y_n")))
     swap = F.col("x_place") > F.col("y_place")
     placed = placed.select(F.when(swap, F.col("x")).otherwise(F.col("y")).alias("late"), F.when(swap, F.struct("y_place", "y")).otherwise(F.struct(F.col("x_place").alias("y_place"), F.col("x").alias("y"))).alias("early"))
     placed = kept(placed)
