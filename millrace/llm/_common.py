@@ -24,11 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> None:
-    """Make sure that checkpoints have a folder: the session's, else (tests, one machine) a new one."""
+    """Make sure that checkpoints have a folder: the session's, else, on one machine only, a new one."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isDefined():
         return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="millrace-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="millrace-"))
 
 
 def kept(df: DataFrame) -> DataFrame:

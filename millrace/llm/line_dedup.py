@@ -29,7 +29,7 @@ from ._common import Marks, identity, kept, written
 
 THRESHOLD = 0.8
 #: Counts of the rarity table; one set in SAMPLE is asked for hot words, of which HOT of these have each.
-BUCKETS, SAMPLE, HOT = 1 << 16, 32, 8
+BUCKETS, SAMPLE, HOT = 1 << 16, 8, 3
 #: Parts, of 64 bits each, of the bitmap that pairs pass before their words are compared.
 WIDE = 4
 _PLACE = ("doc", "mark", "pos")

@@ -9,6 +9,8 @@ kept. Names keep their title; their parts become syllables of the same script wi
 
 Surrogates come from a SHA-256 of the key, the type and the entity. They are checked over the whole corpus: where two
 entities would share one, or one would equal an entity that exists, all but the smallest draw again, until none is left.
+Where a space is so full that draws keep colliding (one-digit octets, say), surrogates become longer than the mention.
+An untitled mention of a name that is titled elsewhere is not detected.
 
 Texts without entities pass as they are; only texts with entities, and the entities, are shuffled. Null texts stay null
 and have no entities. Rows that repeat an id and a text get the same surrogates. An empty table gives no rows.
@@ -16,6 +18,8 @@ and have no entities. Rows that repeat an id and a text get the same surrogates.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,7 +31,7 @@ _NAME = r"\p{Lu}[\p{Ll}'’-]+(?: \p{Lu}[\p{Ll}'’-]+){0,2}"
 TYPES = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "secret": r"\b[0-9A-Fa-f]{32,64}\b",
-    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}\b",
+    "iban": r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?(?=[A-Z0-9]{0,2}[0-9])[A-Z0-9]{1,3})?\b",
     "ip": r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9]|\.[0-9])",
     "phone": r"(?<![0-9])\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,4}(?![0-9])|\([0-9]{3}\) ?[0-9]{3}-[0-9]{4}(?![0-9])|(?<![0-9-])[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
@@ -37,7 +41,8 @@ TYPES = {
 PATTERN = "|".join(f"(?:{p})" for p in TYPES.values())
 #: What any entity has in it; cheap to look for.
 HINT = "[@0-9]|(?:" + "|".join(MALE + FEMALE) + r")\.? "
-ROUNDS = 30
+#: Attempts after which a surrogate may be a sign longer than what it stands for.
+WIDER = 5
 
 
 def _type(mention: Column) -> Column:
@@ -72,6 +77,12 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, x: a + x) % 10
 
 
+def _mod97(code: Column) -> Column:
+    """The IBAN checksum of an account number without spaces, in lower case: 1 where it checks."""
+    turned = F.concat(F.substr(code, F.lit(5)), F.substr(code, F.lit(1), F.lit(4)))
+    return F.aggregate(_chars(turned), F.lit(0), lambda a, c: (a * F.when(c.rlike("[a-z]"), 100).otherwise(10) + F.instr(F.lit("0123456789abcdefghijklmnopqrstuvwxyz"), c) - 1) % 97)
+
+
 def _surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Column:
     """The entity that stands for `entity` at this attempt."""
     seed = F.sha2(F.concat_ws("\x1f", F.lit(key), kind, attempt.cast("string"), entity), 256)
@@ -106,7 +117,12 @@ def _surrogate(kind: Column, entity: Column, key: str, attempt: Column) -> Colum
         return F.when(word.rlike("[а-яё]"), F.concat(cyrillic, F.when(female, "а").otherwise(""))).otherwise(F.concat(latin, F.when(female, "a").otherwise("")))
 
     name = F.concat(F.substr(entity, F.lit(1), F.lit(2)), F.array_join(F.transform(F.split(F.substr(entity, F.lit(3)), " "), part), " "))
-    return F.when(kind == "ip", address).when(kind == "name", name).when((kind == "account") & (_luhn(F.when(kind == "account", entity).otherwise("0")) == 0), checked).otherwise(plain)
+    iban = F.concat(F.substr(plain, F.lit(1), F.lit(2)), F.lit("00"), F.substr(plain, F.lit(5)))
+    iban = F.concat(F.substr(plain, F.lit(1), F.lit(2)), F.lpad((98 - _mod97(iban)).cast("string"), 2, "0"), F.substr(plain, F.lit(5)))
+    valid = _mod97(F.when(kind == "iban", entity).otherwise("")) == 1
+    # where a space is full, surrogates grow by a sign for every WIDER attempts
+    more = F.array_join(F.transform(F.sequence(F.lit(0), F.floor(attempt / WIDER).cast("int")), lambda i: F.when(i == 0, "").when(kind == "name", letter("abcdefghijklmnopqrstuvwxyz", draw(i + 1000, 26))).otherwise(draw(i + 1000, 10).cast("string"))), "")
+    return F.concat(F.when(kind == "ip", address).when(kind == "name", name).when((kind == "iban") & valid, iban).when((kind == "account") & (_luhn(F.when(kind == "account", entity).otherwise("0")) == 0), checked).otherwise(plain), more)
 
 
 def _written(kind: Column, mention: Column, surrogate: Column) -> Column:
@@ -120,6 +136,7 @@ def _written(kind: Column, mention: Column, surrogate: Column) -> Column:
         return F.when(c.rlike("[A-Z]"), F.upper(sign(i))).when(c.rlike("[0-9a-z]"), sign(i)).otherwise(c)
 
     same = F.array_join(F.transform(F.sequence(F.lit(1), F.length(mention)), one), "")
+    same = F.concat(same, F.substr(signs, at(F.length(mention)) + 1))
     return F.when(kind == "name", F.concat(F.regexp_extract(mention, r"^\S+ ", 0), F.initcap(F.substr(surrogate, F.lit(3))))).otherwise(same)
 
 
@@ -127,7 +144,7 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """kind, entity, surrogate of distinct (kind, entity): distinct surrogates, none of which is an entity itself."""
     entities = kept(entities.select("kind", "entity").distinct())
     drawn = kept(entities.select("kind", "entity", F.lit(0).alias("attempt"), _surrogate(F.col("kind"), F.col("entity"), key, F.lit(0)).alias("surrogate")))
-    for attempt in range(1, ROUNDS):
+    for attempt in count(1):  # ends: from WIDER on each space grows tenfold every WIDER attempts
         real = entities.select("kind", F.col("entity").alias("surrogate"))
         first = drawn.groupBy("kind", "surrogate").agg(F.min("entity").alias("owner"), F.count("*").alias("n")).where("n > 1")
         again = drawn.join(first, ["kind", "surrogate"]).where("entity != owner").select("kind", "entity")
@@ -136,7 +153,6 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
             return drawn.select("kind", "entity", "surrogate")
         redrawn = again.select("kind", "entity", F.lit(attempt).alias("attempt"), _surrogate(F.col("kind"), F.col("entity"), key, F.lit(attempt)).alias("surrogate"))
         drawn = kept(drawn.join(again, ["kind", "entity"], "left_anti").unionByName(redrawn))
-    raise ValueError(f"surrogates still collide after {ROUNDS} draws")
 
 
 def replace_pii(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

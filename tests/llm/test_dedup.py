@@ -206,7 +206,7 @@ def plain_line_dedup(rows):
     return out
 
 
-@pytest.mark.parametrize(("hot", "sample"), [(2, 1), (8, 32)])
+@pytest.mark.parametrize(("hot", "sample"), [(2, 1), (3, 8)])
 def test_line_dedup(spark, docs, monkeypatch, hot, sample):
     monkeypatch.setattr(line_dedup, "HOT", hot)
     monkeypatch.setattr(line_dedup, "SAMPLE", sample)

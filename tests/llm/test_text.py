@@ -144,6 +144,8 @@ def test_surrogates(spark, docs, odd):
     assert re.fullmatch(r"Frau [A-Z][a-z]+a [A-Z][a-z]+a, Mr\. [A-Z][a-z]+ [A-Z][a-z]+, Госпожа [А-Я][а-я]+а [А-Я][а-я]+а", out[4].text)
     assert re.fullmatch(r'token = "[0-9a-f]{40}"', out[5].text) and out[5].text != rows[4][1]
     assert re.fullmatch(r"DE\d\d( \d{4}){4} \d\d, \d{3}-\d\d-\d{4}", out[7].text)
+    iban = re.match(r"[^,]*", out[7].text)[0].replace(" ", "")
+    assert int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1 and iban != "DE89370400440532013000"
     kept = {(r.doc_id, r.text) for r in pii.replace_pii(odd, "key").collect()}
     assert kept == {(r.doc_id, r.text) for r in odd.collect()}
     assert pii.replace_pii(docs(), "key").count() == 0
@@ -156,6 +158,14 @@ def test_surrogates_stay_distinct(spark):
     assert out.surrogate.is_unique and not set(out.surrogate) & set(out.entity) and len(out) == 1000
 
 
+def test_surrogates_of_a_full_space(spark):
+    entities = spark.range(10_000).selectExpr("'ip' AS kind", "concat_ws('.', id div 1000, id div 100 % 10, id div 10 % 10, id % 10) AS entity").where("entity > '5'")
+    entities = entities.unionByName(spark.createDataFrame([("name", f"m {a}") for a in "abc"], "kind string, entity string"))
+    full = spark.range(10_000).selectExpr("'ip' AS kind", "concat_ws('.', id div 1000, id div 100 % 10, id div 10 % 10, id % 10) AS entity")
+    out = pii.surrogates(entities.unionByName(full), "key").toPandas()
+    assert out.surrogate.is_unique and not set(out.surrogate) & set(out.entity) and len(out) == 10_003
+
+
 def labelled(draw):
     common = [f"{a}{b}" for a in ("tha", "er", "on", "ing", "ea") for b in ("nd", "re", "st", "ly", "ou", "th")]
     plain = lambda n: [draw.choice(common) for _ in range(n)]
