@@ -2,8 +2,8 @@
 
 The first k points by id seed the centroids; ties go to the lowest centroid; the loop ends when all centroids moved by
 no more than the tolerance, or after max_iterations, and gives the assignment made before the last update. A centroid
-without points stays where it is. Centroids are k rows and travel with the plan; points are never moved: a round is a
-projection and a partial aggregation of k times the width.
+without points stays where it is. Points are persisted for the loop and never moved; centroids are k rows and travel
+with the plan: a round is a projection and a partial aggregation of k rows.
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ def assign(points: DataFrame, centroids: list[list[float]]) -> DataFrame:
 
 
 def update(points: DataFrame, centroids: list[list[float]]) -> list[list[float]]:
-    """Mean of each centroid's points: one row for each centroid and coordinate reaches the driver."""
-    told = labelled(points, centroids).select("label", F.posexplode("coordinates").alias("pos", "x"))
+    """Mean of each centroid's points, by place in the array: one row for each centroid reaches the driver."""
+    means = [F.avg(F.get("coordinates", F.lit(at))) for at in range(len(centroids[0]))]
     moved = [list(c) for c in centroids]
-    for row in told.groupBy("label", "pos").agg(F.avg("x").alias("mean")).collect():
-        moved[row.label][row.pos] = row.mean
+    for row in labelled(points, centroids).groupBy("label").agg(F.array(*means).alias("mean")).collect():
+        moved[row.label] = list(row.mean)
     return moved
 
 
@@ -43,11 +43,14 @@ def converged(old: list[list[float]], new: list[list[float]], tolerance: float)
 
 def kmeans(points: DataFrame, k: int, max_iterations: int = 100, tolerance: float = 0.0) -> DataFrame:
     """id, label of points (id, coordinates array<double>)."""
-    centroids = [list(r.coordinates) for r in points.orderBy("id").limit(k).collect()]
-    used = centroids
-    for _ in range(max_iterations):
-        used, moved = centroids, update(points, centroids)
-        centroids = moved
-        if converged(used, moved, tolerance):
-            break
+    points.persist()
+    try:
+        centroids = [list(r.coordinates) for r in points.orderBy("id").limit(k).collect()]
+        used = centroids
+        for _ in range(max_iterations if centroids else 0):
+            used, centroids = centroids, update(points, centroids)
+            if converged(used, centroids, tolerance):
+                break
+    finally:
+        points.unpersist()
     return assign(points, used)

@@ -27,14 +27,14 @@ def generated(spark: SparkSession, base: int, update: int, delete: int) -> dict[
 
 def median_by_array(customers: DataFrame, parameters: DataFrame) -> DataFrame:
     """As an ordered array for each group and its middle entry."""
-    asked = customers.join(F.broadcast(parameters.select(*KEYS).distinct()), KEYS, "left_semi")
+    asked = customers.join(parameters.select(*KEYS).distinct(), KEYS, "left_semi")
     arrays = asked.groupBy(*KEYS).agg(F.sort_array(F.collect_list(F.struct("c_first", "c_id"))).alias("a"))
     return arrays.select(*KEYS, F.get("a", F.floor(F.size("a") / 2).cast("int")).alias("m")).select(*KEYS, "m.c_first", "m.c_id")
 
 
 def median_by_rank(customers: DataFrame, parameters: DataFrame) -> DataFrame:
     """As ranks within groups; no group becomes one value."""
-    asked = customers.join(F.broadcast(parameters.select(*KEYS).distinct()), KEYS, "left_semi")
+    asked = customers.join(parameters.select(*KEYS).distinct(), KEYS, "left_semi")
     group = Window.partitionBy(*KEYS)
     ranked = asked.select(*KEYS, "c_first", "c_id", F.row_number().over(group.orderBy("c_first", "c_id")).alias("rank"), F.count("*").over(group).alias("n"))
     return ranked.where(F.col("rank") == F.floor(F.col("n") / 2) + 1).select(*KEYS, "c_first", "c_id")

@@ -113,12 +113,13 @@ def kmeans_update(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
 
 
 def kmeans_loop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.kmeans(points(spark, sf_dir), 5, max_iterations=20)
+    return K.kmeans(points(spark, sf_dir), 5, max_iterations=20).select("id", F.col("label").cast("long").alias("label"))
 
 
 def uniform_points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """1,000 points of two coordinates between -1 and 1 from a seed."""
-    return spark.range(1000).select("id", F.array(F.rand(42) * 2 - 1, F.rand(43) * 2 - 1).alias("coordinates"))
+    """1,000 points of two coordinates between -1 and 1; a hash of the id and a seed is the draw, so partitions change nothing."""
+    draw = lambda seed: F.conv(F.substring(F.md5(F.concat_ws("-", F.col("id").cast("string"), F.lit(seed))), 1, 8), 16, 10).cast("long") / F.lit(float(1 << 31)) - 1
+    return spark.range(1000).select("id", draw("42").alias("x"), draw("43").alias("y"))
 
 
 QUERIES = {
@@ -132,7 +133,21 @@ _SUM = f"WITH {_CELLS} SELECT round(sum(x), 6) AS total FROM cells"
 _MATVEC = f"WITH {_CELLS} SELECT i, round(sum(x * (j % 7 - 3)), 6) AS y FROM cells GROUP BY i"
 _ASSIGN = f"""{_CELLS}, d AS (SELECT a.i AS id, b.i AS label, sqrt(sum((a.x - b.x) * (a.x - b.x))) AS d FROM cells a JOIN cells b ON a.j = b.j AND b.i < 5 GROUP BY ALL),
 labels AS (SELECT id, label FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, label) = 1)"""
+def _kmeans_sql(rounds: int, k: int = 5) -> str:
+    """The loop unrolled: each round labels the points and moves the centroids; one that lost its points stays."""
+    steps = [f"WITH {_CELLS}, c0 AS (SELECT i AS label, j, x FROM cells WHERE i < {k})"]
+    for r in range(rounds):
+        steps.append(f"d{r} AS (SELECT p.i AS id, c.label, sqrt(sum((p.x - c.x) * (p.x - c.x))) AS d FROM cells p JOIN c{r} c ON p.j = c.j GROUP BY ALL)")
+        steps.append(f"l{r} AS MATERIALIZED (SELECT id, label FROM d{r} QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, label) = 1)")
+        steps.append(f"m{r} AS (SELECT label, j, avg(x) AS x FROM l{r} JOIN cells ON id = i GROUP BY ALL)")
+        steps.append(f"c{r + 1} AS MATERIALIZED (SELECT o.label, o.j, coalesce(m.x, o.x) AS x FROM c{r} o LEFT JOIN m{r} m ON o.label = m.label AND o.j = m.j)")
+    return ",\n".join(steps) + f"\nSELECT id, label FROM l{rounds - 1}"
+
+
+_DRAW = "CAST(CAST('0x' || substr(md5(id || '-{seed}'), 1, 8) AS BIGINT) AS DOUBLE) / 2147483648.0 - 1"
 ORACLES = {
+    "kernel_kmeans": _kmeans_sql(20),
+    "kernel_uniform_points": f"SELECT id, {_DRAW.format(seed=42)} AS x, {_DRAW.format(seed=43)} AS y FROM range(1000) r(id)",
     "kernel_vector_sum": _SUM, "kernel_chunked_sum_keep": _SUM, "kernel_chunked_sum_pad": _SUM, "kernel_batched_sum": _SUM, "kernel_flattened_sum": _SUM,
     "kernel_chunked_sum_drop": f"WITH {_CELLS}, c AS (SELECT (i * 64 + j) // 7 AS chunk, sum(x) AS s, count(*) AS n FROM cells GROUP BY 1) SELECT round(sum(s), 6) AS total FROM c WHERE n = 7",
     "kernel_chunks": f"WITH {_CELLS} SELECT i, j // 10 AS chunk, CAST(10 AS BIGINT) AS n, round(sum(x), 6) AS s FROM cells GROUP BY 1, 2",

@@ -118,13 +118,14 @@ def q8(spark: SparkSession, sf_dir: str, hours: int = 12) -> DataFrame:
 
 
 QUERIES = {
-    "nexmark_q1": partial(q1, rate=0.908), "nexmark_q2": partial(q2, items=(7, 20, 101, 119, 87)), "nexmark_q3": partial(q3, state="ASIA", category="PROMO"), "nexmark_q4": q4,
+    "nexmark_q1": partial(q1, rate=0.908), "nexmark_q2": partial(q2, items=(7, 20, 101, 119, 87)), "nexmark_q2_literal": partial(q2, items=(1007, 1020, 2001, 2019, 1087)), "nexmark_q3": partial(q3, state="ASIA", category="PROMO"), "nexmark_q4": q4,
     "nexmark_q5_hour": partial(q5, size="60 minutes", slide="10 minutes"), "nexmark_q5_seconds": partial(q5, size="10 seconds", slide="2 seconds"), "nexmark_q5_sum": partial(q5_sum, size="10 seconds", slide="1 second"),
     "nexmark_q6": q6, "nexmark_q7": partial(q7, size="10 minutes"), "nexmark_q8": q8,
 }
 _AUCTIONS = "auctions AS (SELECT o_orderkey AS auction_id, o_custkey AS seller_id, o_orderkey % (SELECT count(*) FROM part) AS itemid, o_orderdate AS opened FROM orders)"
 ORACLES = {
     "nexmark_q1": "SELECT user_id AS itemid, round(value * 0.908, 4) AS price, event_id AS bidder_id, ts AS bid_time FROM events",
+    "nexmark_q2_literal": "SELECT user_id AS itemid, value AS price, event_id AS bidder_id FROM events WHERE user_id IN (1007, 1020, 2001, 2019, 1087)",
     "nexmark_q2": "SELECT user_id AS itemid, value AS price, event_id AS bidder_id FROM events WHERE user_id IN (7, 20, 101, 119, 87)",
     "nexmark_q3": f"WITH {_PERSONS}, {_AUCTIONS} SELECT name, city, state, auction_id FROM auctions JOIN persons ON seller_id = id JOIN part ON itemid = p_partkey WHERE state = 'ASIA' AND p_type = 'PROMO'",
     "nexmark_q4": "SELECT p_type AS category, round(avg(l_extendedprice), 4) AS avg_price FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_type",

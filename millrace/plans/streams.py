@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import table
 from ..streaming import median, nexmark, windows
-from ..streaming.runs import drained, shared_folder
+from ..streaming.runs import drained, newest, shared_folder
 from . import nexmark as batch
 from . import tpcc
 
@@ -23,13 +23,14 @@ def q2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counts = drained(nexmark.hop_counts(nexmark.bid_stream(spark, sf_dir), "60 minutes", "10 minutes"), "complete")
+    counts = drained(nexmark.hop_counts(nexmark.bid_stream(spark, sf_dir), "60 minutes", "10 minutes"), "update")
+    counts = newest(counts, "starttime", "itemid")
     most = counts.groupBy("starttime").agg(F.max("num").alias("most"))
     return counts.join(most, "starttime").where("num >= most").select("starttime", "itemid", "num")
 
 
 def q7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return drained(nexmark.highest(nexmark.bid_stream(spark, sf_dir), "10 minutes"), "complete")
+    return newest(drained(nexmark.highest(nexmark.bid_stream(spark, sf_dir), "10 minutes"), "update"), "starttime")
 
 
 def q8(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +61,12 @@ def arrival_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.arrival_window(table(spark, sf_dir, "events"), "ts", "value", timedelta(minutes=1), timedelta(seconds=30))
 
 
+def live_arrival_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """arrival_window() over the events as a stream, with state that is evicted."""
+    live = windows.live_arrival_window(nexmark.bid_stream(spark, sf_dir), "bid_time", "price", timedelta(minutes=1), timedelta(seconds=30))
+    return newest(drained(live, "update"), "instant")
+
+
 def concurrent_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     each = {"half": (timedelta(minutes=1), timedelta(seconds=30)), "ten": (timedelta(minutes=1), timedelta(minutes=10))}
     return windows.concurrent_windows(table(spark, sf_dir, "events"), "ts", "value", each)
@@ -74,7 +81,7 @@ WHERE instant >= ts AND instant <= ts + to_seconds({size}) GROUP BY instant"""
 
 QUERIES = {
     "stream_nexmark_q1": q1, "stream_nexmark_q2": q2, "stream_nexmark_q5": q5, "stream_nexmark_q7": q7, "stream_nexmark_q8": q8, "stream_median": incremental_median,
-    "arrival_window": arrival_window, "arrival_windows_concurrent": concurrent_windows,
+    "stream_arrival_window": live_arrival_window, "arrival_window": arrival_window, "arrival_windows_concurrent": concurrent_windows,
 }
 ORACLES = {
     "stream_nexmark_q1": "SELECT user_id AS itemid, round(value * 0.908, 4) AS price, event_id AS bidder_id FROM events",
@@ -83,6 +90,6 @@ ORACLES = {
     "stream_nexmark_q7": "SELECT time_bucket(INTERVAL 10 MINUTE, ts, TIMESTAMP '1970-01-01') AS starttime, max(value) AS best FROM events GROUP BY 1",
     "stream_nexmark_q8": batch.ORACLES["nexmark_q8"],
     "stream_median": tpcc.ORACLES["tpcc_byname_changes"],
-    "arrival_window": _arrival(30),
+    "stream_arrival_window": _arrival(30), "arrival_window": _arrival(30),
     "arrival_windows_concurrent": f"SELECT 'half' AS name, * FROM ({_arrival(30)}) UNION ALL SELECT 'ten', * FROM ({_arrival(600)})",
 }

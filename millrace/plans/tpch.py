@@ -59,6 +59,43 @@ def q4(spark: SparkSession, sf_dir: str, start: str = "1993-07-01", months: int
     return found.groupBy("o_orderpriority").agg(F.count("*").alias("order_count")).orderBy("o_orderpriority")
 
 
+def _q4_sides(spark: SparkSession, sf_dir: str, start: str, limit: int | None) -> tuple[DataFrame, DataFrame]:
+    """Orders in the quarter, and the keys of orders with a late line."""
+    lines = lineitem_dates(table(spark, sf_dir, "lineitem", ["l_orderkey", "l_linenumber", "l_shipdate"], limit))
+    first = F.lit(start).cast("timestamp_ntz")
+    orders = table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate", "o_orderpriority"], limit)
+    orders = orders.where((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < F.add_months(first, 3).cast("timestamp_ntz")))
+    return orders.select("o_orderkey", "o_orderpriority"), lines.where("l_commitdate < l_receiptdate").select("l_orderkey").distinct()
+
+
+def _counted(found: DataFrame, partial_first: bool) -> DataFrame:
+    """Orders by priority; where partial_first is off, rows travel to where their priority is counted, uncounted."""
+    if not partial_first:
+        found = found.repartition("o_orderpriority")
+    return found.groupBy("o_orderpriority").agg(F.count("*").alias("order_count")).orderBy("o_orderpriority")
+
+
+#: Bytes, as the planner estimates them, up to which a build side goes to every node.
+BROADCAST_BYTES = 64 << 20
+
+
+def q4_broadcast(spark: SparkSession, sf_dir: str, start: str = "1993-07-01", partial_first: bool = True, limit: int | None = None) -> DataFrame:
+    """The build side goes to every node, the probe side is dealt to nodes by key. Beyond BROADCAST_BYTES the build side is
+    dealt by key too, as in q4_partitioned."""
+    orders, late = _q4_sides(spark, sf_dir, start, limit)
+    size = int(str(late._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    late = F.broadcast(late) if size <= BROADCAST_BYTES else late
+    return _counted(orders.repartition("o_orderkey").join(late, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi"), partial_first)
+
+
+def q4_partitioned(spark: SparkSession, sf_dir: str, start: str = "1993-07-01", partial_first: bool = True, limit: int | None = None) -> DataFrame:
+    """Both sides are dealt by key; each node joins the bucket that it holds."""
+    orders, late = _q4_sides(spark, sf_dir, start, limit)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    orders, late = orders.repartition(n, "o_orderkey"), late.repartition(n, "l_orderkey").hint("shuffle_hash")
+    return _counted(orders.join(late, F.col("o_orderkey") == F.col("l_orderkey"), "left_semi"), partial_first)
+
+
 def q4_exists(spark: SparkSession, sf_dir: str, start: str = "1993-07-01") -> DataFrame:
     """The same as SQL with EXISTS."""
     orders, lines = table(spark, sf_dir, "orders"), lineitem_dates(table(spark, sf_dir, "lineitem"))
@@ -125,11 +162,14 @@ FROM l JOIN p ON p_partkey = l_partkey WHERE {where}
 """
 
 
-QUERIES = {
+_DISTRIBUTED = {
+    f"tpch_q4_{name}{'' if first else '_uncounted'}": partial(query, start="1996-07-01", partial_first=first) for name, query in (("broadcast", q4_broadcast), ("partitioned", q4_partitioned)) for first in (True, False)
+}
+QUERIES = _DISTRIBUTED | {
     "tpch_q1": q1, "tpch_q4": partial(q4, start="1996-07-01"), "tpch_q4_exists": partial(q4_exists, start="1996-07-01"), "tpch_q4_literal": q4,
     "tpch_q19": partial(q19, branches=SUPPLIED), "tpch_q19_or_join": partial(q19_or_join, branches=SUPPLIED), "tpch_q19_literal": q19,
 }
-ORACLES = {
+ORACLES = dict.fromkeys(_DISTRIBUTED, _Q4.format(start="1996-07-01")) | {
     "tpch_q1": Q1, "tpch_q4": _Q4.format(start="1996-07-01"), "tpch_q4_exists": _Q4.format(start="1996-07-01"), "tpch_q4_literal": _Q4.format(start="1993-07-01"),
     "tpch_q19": _q19_sql(SUPPLIED), "tpch_q19_or_join": _q19_sql(SUPPLIED), "tpch_q19_literal": _q19_sql(BRANCHES),
 }

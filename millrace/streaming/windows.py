@@ -27,6 +27,14 @@ def arrival_window(items: DataFrame, ts: str, value: str, every: timedelta, size
     return sums.select(F.timestamp_micros("us").cast("timestamp_ntz").alias("instant"), "n", "total")
 
 
+def live_arrival_window(items: DataFrame, ts: str, value: str, every: timedelta, size: timedelta, late: str = "1 hour") -> DataFrame:
+    """arrival_window() of a stream. Instants are the event time: sums are kept for each instant, put out as they change
+    (update mode), and evicted in the batch after the watermark has passed the instant."""
+    seen = items.select(F.explode(instants(F.col(ts), every, size)).alias("us"), F.col(value).alias("x")).select(F.timestamp_micros("us").alias("instant"), "x")
+    sums = seen.withWatermark("instant", late).groupBy("instant").agg(F.count("*").alias("n"), F.sum(F.col("x").cast("decimal(18,2)")).cast("double").alias("total"))
+    return sums.select(F.col("instant").cast("timestamp_ntz").alias("instant"), "n", "total")
+
+
 def concurrent_windows(items: DataFrame, ts: str, value: str, windows: dict[str, tuple[timedelta, timedelta]]) -> DataFrame:
     """Several windows (name: every, size) over one pass of the items."""
     each = F.array(*(F.struct(F.lit(name).alias("name"), instants(F.col(ts), every, size).alias("at")) for name, (every, size) in windows.items()))
