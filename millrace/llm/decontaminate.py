@@ -9,7 +9,7 @@ are leaked only where they are the whole document. Null texts have no words; ite
 
 The benchmark is a query set against all documents, in blocks: items are dealt to blocks by hash so that a block has
 about BLOCK_BYTES of text, whatever the benchmark's size, and each block is scanned over whole documents where they are
-read. Nothing is shuffled.
+read. Only the keys of leaked documents are shuffled. Rows that repeat an id and a text get the same result.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import parts
+from ._common import identity, parts, written
 
 MIN_TILE, COVERAGE, BLOCK_BYTES = 5, 0.5, 8 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -118,7 +118,10 @@ class Block:
             places.append(np.stack([np.full(len(at), n), at]))
         seeds_all = np.concatenate(seeds) if seeds else np.array([], np.uint64)
         order = np.argsort(seeds_all, kind="stable")
-        self.seeds, self.places = seeds_all[order], (np.concatenate(places, axis=1) if places else np.zeros((2, 0), np.int64))[:, order]
+        self.places = (np.concatenate(places, axis=1) if places else np.zeros((2, 0), np.int64))[:, order]
+        # each seed once, and where its places in the items begin and end
+        self.seeds, starts = np.unique(seeds_all[order], return_index=True)
+        self.starts = np.append(starts, len(seeds_all))
 
     def leaks(self, text: str | None) -> list[tuple[int | None, int, int, int]]:
         """(item id, words in tiles, words of the item, tiles) of the items leaked into a text."""
@@ -130,24 +133,29 @@ class Block:
         if not len(at) or not len(self.seeds):
             return []
         hashes = _hashes(_running(doc), at, MIN_TILE)
-        first, last = np.searchsorted(self.seeds, hashes, "left"), np.searchsorted(self.seeds, hashes, "right")
-        hit = np.flatnonzero(last > first)
-        if not len(hit):
+        seed = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)
+        hit = self.seeds[seed] == hashes
+        at, seed = at[hit], seed[hit]
+        if not len(at):
             return []
-        counts = (last - first)[hit]
-        which = np.repeat(first[hit], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-        items, item_at, doc_at = self.places[0, which], self.places[1, which], np.repeat(at[hit], counts)
+        # places in items and in the document stay apart: a seed that both repeat never gives all pairs
+        shared = np.unique(seed)
+        counts = self.starts[shared + 1] - self.starts[shared]
+        which = np.repeat(self.starts[shared], counts) + np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        which, of = which[order := np.argsort(self.places[0, which], kind="stable")], np.repeat(shared, counts)[order]
+        items, begins = np.unique(self.places[0, which], return_index=True)
         found = []
-        for n in np.unique(items).tolist():
-            item, mine = self.sequences[n], items == n
+        for n, begin, end in zip(items.tolist(), begins.tolist(), [*begins[1:].tolist(), len(which)], strict=True):
+            item = self.sequences[n]
             reach = np.zeros(len(item), bool)
             for k in range(MIN_TILE):
-                reach[item_at[mine] + k] = True
+                reach[self.places[1, which[begin:end]] + k] = True
             if reach.sum() < COVERAGE * len(item):
                 continue
             near = np.zeros(len(doc), bool)
+            mine = at[np.isin(seed, of[begin:end])]
             for k in range(MIN_TILE):
-                near[doc_at[mine] + k] = True
+                near[mine + k] = True
             # the document's part that seeds reach, a zero between its runs
             spans = np.where(near, doc, 0)[near | np.concatenate([[False], near[:-1]])]
             tiled = tiles(item, spans)
@@ -167,36 +175,50 @@ def blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text"
         yield Block([(r.mr_id, r.mr_text) for r in rows])
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, item_id, matched_tokens, item_tokens, n_tiles, coverage: a row for each item leaked into each document."""
-    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("mr_text"))
-    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched_tokens", pa.int64()), ("item_tokens", pa.int64()), ("n_tiles", pa.int64()), ("coverage", pa.float64())])
+def _searched(source: DataFrame, benchmark: DataFrame, found: Callable[[Block, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+    """found(block, some rows) of all rows of source (that have mr_text) and all blocks.
+
+    What is found in one block is written before the next one is read, so neither the driver nor the plan holds more
+    than one. A benchmark of one block is searched for where the result is used.
+    """
 
     def search(block: Block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in parts(batches, "mr_text"):
-                rows = [(doc, item, covered, n, tiled, covered / n) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("mr_text").to_pylist(), strict=True) for item, covered, n, tiled in block.leaks(text)]
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
+                yield found(block, batch)
 
         return run
 
-    found = None
+    out = last = None
     for block in blocks(benchmark):
-        part = source.mapInArrow(search(block), "doc_id long, item_id long, matched_tokens long, item_tokens long, n_tiles long, coverage double")
-        found = part if found is None else found.unionByName(part)
-    return found
+        if last is not None:
+            out = written(last) if out is None else out.unionByName(written(last))
+        last = source.mapInArrow(search(block), schema)
+    return last if out is None else out.unionByName(written(last))
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs without the rows that an item is leaked into, all columns kept."""
+def leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, item_id, matched_tokens, item_tokens, n_tiles, coverage: a row for each item leaked into each document."""
+    source = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("mr_text"))
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("matched_tokens", pa.int64()), ("item_tokens", pa.int64()), ("n_tiles", pa.int64()), ("coverage", pa.float64())])
 
-    def keep(block: Block) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in parts(batches, text_col):
-                yield batch.filter(pa.array([not block.leaks(x) for x in batch.column(text_col).to_pylist()], pa.bool_()))
+    def found(block: Block, batch: pa.RecordBatch) -> pa.RecordBatch:
+        rows = [(doc, item, covered, n, tiled, covered / n) for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("mr_text").to_pylist(), strict=True) for item, covered, n, tiled in block.leaks(text)]
+        return pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema)
 
-        return run
+    return _searched(source, benchmark, found, "doc_id long, item_id long, matched_tokens long, item_tokens long, n_tiles long, coverage double")
 
-    for block in blocks(benchmark):
-        docs = docs.mapInArrow(keep(block), docs.schema)
-    return docs
+
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows that an item is leaked into, all columns kept."""
+    text = F.col(f"`{text_col}`")
+    source = docs.select(F.col(f"`{id_col}`").cast("string").alias("mr_id"), identity(text).alias("mr_mark"), text.alias("mr_text"))
+
+    def found(block: Block, batch: pa.RecordBatch) -> pa.RecordBatch:
+        leaked = pa.array([bool(block.leaks(x)) for x in batch.column("mr_text").to_pylist()], pa.bool_())
+        return batch.select(["mr_id", "mr_mark"]).filter(leaked)
+
+    gone = _searched(source, benchmark, found, "mr_id string, mr_mark long").distinct().alias("g")
+    here = docs.alias("d")
+    same = F.col(f"d.`{id_col}`").cast("string").eqNullSafe(F.col("g.mr_id")) & (identity(F.col(f"d.`{text_col}`")) == F.col("g.mr_mark"))
+    return here.join(gone, same, "left_anti")

@@ -3,6 +3,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -270,3 +271,26 @@ def test_lm_scoring(spark, docs, odd, monkeypatch):
     held = [r for r in out if r.held_out and r.n_tokens > 20]
     assert sum(r.score for r in held) > 2 * sum(r.base_score for r in held)  # few texts: pieces of words say less than counts
     assert lm_scoring.score(docs(), PATH).count() == 0
+
+
+def test_sharding_parts_rows_that_are_equal(spark, docs):
+    """A third of all rows is one row, repeated; one text is larger than a shard."""
+    rows = [(7, "same text")] * 4000 + [(i, "y" * (i % 97)) for i in range(8000)] + [(9001, "z" * 60_000)]
+    out = sharding.shard_by_bytes(docs(*rows), 40).toPandas()
+    assert len(out) == len(rows) and sorted(out.doc_id) == sorted(i for i, _ in rows)
+    assert all(sorted(g.slot) == list(range(len(g))) for _, g in out.groupby("shard"))
+    share = out["size"].sum() / 40
+    ends = np.cumsum(out.groupby("shard")["size"].sum().reindex(range(40), fill_value=0))
+    assert (abs(ends - share * np.arange(1, 41))[ends.index != 39] <= np.maximum(0.001 * share + 120, 60_016)).all()
+    sizes = out[out.doc_id != 9001].groupby("shard")["size"].sum()
+    assert sizes.max() <= share * 1.01 + 120 and out[out.doc_id == 7].shard.nunique() > 1
+
+
+def test_repeated_seeds_do_not_multiply():
+    """A text and an item that repeat one word: marks on each side, not all pairs of places."""
+    block = decontaminate.Block([(1, "x " * 4000), (2, "x " * 4000 + "other words that are not in it " * 2000)])
+    text = "x " * 200_000
+    tracemalloc.start()
+    assert [leak[:3] for leak in block.leaks(text)] == [(1, 4000, 4000)]
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
