@@ -294,3 +294,50 @@ def test_repeated_seeds_do_not_multiply():
     assert [leak[:3] for leak in block.leaks(text)] == [(1, 4000, 4000)]
     assert tracemalloc.get_traced_memory()[1] < 200 << 20
     tracemalloc.stop()
+
+
+def test_windowed_scores_are_those_of_a_plain_forward_pass():
+    """Each place of texts of all lengths, once, against one place at a time without batches, masks and classes sorted."""
+    draw = np.random.default_rng(4)
+    size = attention.NUMBERS
+    model = attention.Attention(*attention.bigram_tables(draw.integers(0, 3, (size, size)).astype(float), draw.integers(1, 9, size).astype(float)))
+    for name in ("c", "m"):
+        model.w[name] = (0.3 * draw.standard_normal(model.w[name].shape)).astype(np.float32)
+    w = {k: v.astype(float) for k, v in model.w.items()}
+    lengths = np.array([1, 5, 63, 64, 65, 111, 112, 113, 300])
+    targets = draw.integers(0, size, lengths.sum())
+    inputs = np.concatenate([[0], targets[:-1]])
+
+    def plain(x, target):
+        h = w["e"][x] + w["p"][: len(x)]
+        s = np.exp(h @ w["k"] @ (h[-1] @ w["q"]) / np.sqrt(attention.WIDTH))
+        o = h[-1] + (s / s.sum()) @ (h @ w["v"]) @ w["o"]
+        z = o + np.maximum(o @ w["1"] + w["b"], 0) @ w["2"]
+        kind, place = divmod(int(target), attention.MEMBERS)
+        log = lambda a, i: a[i] - np.log(np.exp(a).sum())
+        return log(z @ w["c"] + model.class_table[x[-1]], kind) + log(z @ w["m"][kind] + model.member_table[kind, x[-1]], place)
+
+    want = []
+    for first, n in zip(np.cumsum(lengths) - lengths, lengths, strict=True):
+        for t in range(n):
+            start = 0 if t < attention.WINDOW else ((t - attention.WINDOW) // attention.SCORED + 1) * attention.SCORED
+            want.append(plain(inputs[first + start : first + t + 1], targets[first + t]))
+    places, values = map(np.concatenate, zip(*model.score(inputs, targets, lengths, together=4), strict=True))
+    assert sorted(places.tolist()) == list(range(lengths.sum()))
+    assert np.allclose(values[np.argsort(places)], want, atol=2e-3)
+
+
+def test_lm_scoring_of_odd_texts(spark, odd):
+    """Long, non-Latin, repeated, empty and null texts and a row without an id: a row each, finite, the same for equal texts."""
+    out = lm_scoring.score(odd, PATH).collect()
+    texts = Counter(((r.text or "").lower().split() + ["end"]).__len__() for r in odd.collect())
+    assert Counter(r.n_tokens for r in out) == texts and all(math.isfinite(r.score) and r.score < 0 for r in out)
+    assert len({round(r.score, 4) for r in out if r.n_tokens == 3}) == 1
+
+
+def test_chat_of_a_very_long_conversation(spark):
+    rows = [(1, i, "user" if i % 2 == 0 else "assistant", f"turn {i} </turn> " * 20) for i in range(2000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    (r,) = chat.format_conversations(df, tokenizers.path("byte_bpe_50k.json"), ("formatted", "n_turns", "loss_chars")).collect()
+    assert chat.read_back(r.formatted) == [(role, text) for _, _, role, text in rows]
+    assert r.n_turns == 2000 and r.loss_chars == sum(len(t) for _, _, role, t in rows if role == "assistant")
