@@ -49,6 +49,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def freed(spark: SparkSession) -> None:
+    """Lets go of what past steps shuffled: Spark deletes those files once the driver's JVM has collected their plans,
+    which it does only when its heap is full. Tables of kept() and written() stay."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def identity(text: Column) -> Column:
     """A 64-bit mark that tells rows with one id but different texts apart."""
     return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull())

@@ -1,8 +1,10 @@
-"""Near copies: five-word shingles, a Jaccard similarity of SIMILARITY or more, complete.
+"""SimHash near-dedup in its wide form: five-word shingles, a Jaccard similarity of SIMILARITY or more, complete.
 
-SimHash bits cannot find all such pairs: a block that is added, cut or replaced moves as many bits as many scattered
-edits do, so any limit on bits loses pairs just over 0.8. Candidates are therefore found by an exact prefix filter on the
-sets of shingles, and a bitmap takes SimHash's place in front of the texts.
+First the SimHash operator: the texts' fingerprints go through its inverted index of byte positions with count
+filtering, and the pairs it links are verified on whole texts. SimHash bits cannot find all such pairs: a block that is
+added, cut or replaced moves as many bits as many scattered edits do, so any limit on bits loses pairs just over 0.8.
+Whatever the fingerprints left apart is therefore asked about once more, by an exact prefix filter on the sets of
+shingles, with a bitmap in front of the texts.
 
 Shingles are ordered by rarity: a table of BUCKETS counts, whatever the corpus, ranks a shingle by the logarithm of its
 bucket's count and then by its hash. That order is total and the same everywhere. Two sets of n and m shingles that are
@@ -11,9 +13,10 @@ that many documents hold come last in the order. Pairs of a list are in reach wh
 the parity bitmaps of the sets differ in no more bits than alike sets may differ in shingles. No alike pair fails that.
 
 Pairs are verified on whole texts: equal sets of five-word shingles count (a text of fewer words is one shingle).
-Verified pairs make components, and of each the document with the smallest id stays. First each member of a list is
-paired with its nearest and its smallest one in reach, which joins most groups without all their pairs. Then every pair
-in reach whose members are in different components is verified, so nothing depends on how lists are cut.
+Verified pairs make components, and of each the document with the smallest id stays. After the fingerprints' pairs each
+member of a list is paired with its nearest and its smallest one in reach of another component, which joins most groups
+without all their pairs. Then every pair in reach whose members are in different components is verified, so nothing
+depends on how lists are cut, nor on what the fingerprints found.
 """
 
 from __future__ import annotations
@@ -26,9 +29,9 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import Marks, identity, kept, only_listed, parts, utf8
+from ._common import Marks, freed, identity, kept, only_listed, parts, utf8
 from .components import components
-from .simhash import dealt, runs
+from .simhash import dealt, fingerprint, links, runs
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Counts of the rarity table, and in how many parts it is summed; bits of a set's bitmap.
@@ -97,27 +100,40 @@ def rarities(docs: DataFrame, text_col: str) -> np.ndarray:
 
 
 def _marked(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """mr_id, node (the text's 64-bit mark), size, bits, keys: a row for each row of docs."""
+    """mr_id, node (the text's 64-bit mark), fp (SimHash), size, bits, keys: a row for each row of docs."""
     source = docs.select(F.col(f"`{id_col}`").cast("long").alias("mr_id"), F.col(f"`{text_col}`").alias("mr_text"), identity(F.col(f"`{text_col}`")).alias("node"))
     rarity = rarities(docs, text_col)
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "mr_text"):
-            sets = [shingle_hashes(x) for x in utf8(batch.column("mr_text"))]
+            texts = utf8(batch.column("mr_text"))
+            sets = [shingle_hashes(x) for x in texts]
+            fps = pa.array(np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64))
             bits = pa.array([bitmap(x).tobytes() for x in sets], pa.binary())
             keys = pa.array([prefix(x, rarity).view(np.int64) for x in sets], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column("mr_id"), batch.column("node"), pa.array(list(map(len, sets)), pa.int32()), bits, keys], ["mr_id", "node", "size", "bits", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column("mr_id"), batch.column("node"), fps, pa.array(list(map(len, sets)), pa.int32()), bits, keys], ["mr_id", "node", "fp", "size", "bits", "keys"])
 
-    return source.mapInArrow(mark, "mr_id long, node long, size int, bits binary, keys array<long>")
+    return source.mapInArrow(mark, "mr_id long, node long, fp long, size int, bits binary, keys array<long>")
 
 
-def nearest_pairs(sizes: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of places: each member with its nearest and with its smallest (by place) member in reach."""
+def fingerprint_pairs(nodes: DataFrame) -> DataFrame:
+    """a, b: pairs of nodes that the SimHash index links, as many as connect them: a fingerprint's nodes with its least
+    one, and the least ones of linked fingerprints."""
+    fps = kept(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    same = nodes.join(fps, "fp").where("node > least").select(F.col("node").alias("a"), F.col("least").alias("b"))
+    of = lambda side: fps.select(F.col("fp").alias(side), F.col("least").alias(f"{side}_least"))
+    near = links(fps.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.greatest("a_least", "b_least").alias("a"), F.least("a_least", "b_least").alias("b"))
+    return same.unionByName(near).distinct()
+
+
+def nearest_pairs(sizes: np.ndarray, bits: np.ndarray, roots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of places: each member with its nearest and with its smallest (by place) member in reach of another root."""
     words = np.ascontiguousarray(bits).view(np.uint64)
     far = BITS + 1
     a, b = [], []
     for at in range(0, len(words), 64):
         near = distances(words, sizes, at)
+        near[roots[at : at + 64, None] == roots[None, :]] = far
         here = np.arange(len(near))
         for other in (near.argmin(axis=1), (near < far).argmax(axis=1)):
             good = near[here, other] < far
@@ -159,16 +175,16 @@ def crossing_pairs(sizes: np.ndarray, bits: np.ndarray, roots: np.ndarray) -> It
 
 def candidates(members: DataFrame, every: bool) -> DataFrame:
     """a, b: pairs of nodes that may be alike. Of each list (node, size, bits, root) the nearest and the smallest of each
-    member, or every pair of different roots."""
+    member, or every pair; of different roots both."""
     members = members.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high", "node")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ("node", "size", "bits", "root")):
             for node, size, bits, root in group:
-                if len(node) < 2 or (every and (root == root[0]).all()):
+                if (root == root[0]).all():
                     continue
                 sizes, rows = size.astype(np.int64), np.frombuffer(b"".join(bits.tolist()), np.uint8).reshape(-1, BITS // 8)
-                for a, b in crossing_pairs(sizes, rows, root) if every else [nearest_pairs(sizes, rows)]:
+                for a, b in crossing_pairs(sizes, rows, root) if every else [nearest_pairs(sizes, rows, root)]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["a", "b"])
 
     return members.mapInArrow(tally, "a long, b long").distinct()
@@ -202,15 +218,16 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """docs with one document of each group of near copies, that of the smallest id (a null id is larger than any other);
     all columns kept. Texts without words, null ones among them, are one group. An empty table gives no rows."""
     marked = kept(_marked(docs, id_col, text_col))
-    nodes = kept(marked.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("keys").alias("keys"), F.min("mr_id").alias("low")))
-    members = kept(lists(nodes))
-    alike = kept(verified(kept(candidates(members.withColumn("root", F.col("node")), every=False)), docs, text_col))
-    joined = kept(components(alike))
-    told = joined.select(F.col("node").alias("linked"), "root")
-    members = members.join(told, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).drop("linked")
-    rest = kept(candidates(members, every=True))
-    alike = alike.unionByName(kept(verified(rest, docs, text_col)))
-    joined = kept(components(alike))
+    nodes = kept(marked.groupBy("node").agg(*(F.first(c).alias(c) for c in ("fp", "size", "bits", "keys")), F.min("mr_id").alias("low")))
+    joined = kept(components(kept(verified(kept(fingerprint_pairs(nodes)), docs, text_col))))
+    freed(docs.sparkSession)
+    listed = kept(lists(nodes))
+    for every in (False, True):
+        told = joined.select(F.col("node").alias("linked"), "root")
+        members = listed.join(told, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).drop("linked")
+        more = kept(verified(kept(candidates(members, every)), docs, text_col))
+        joined = kept(components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
+        freed(docs.sparkSession)
     roots = nodes.select("node", "low").join(joined.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     stay = roots.groupBy("root").agg(F.min(F.struct(F.col("low").isNull(), "low", "node")).alias("s")).select(F.col("s.low").alias("mr_id"), F.col("s.node").alias("mr_mark"))
     return only_listed(docs, stay, id_col, text_col)

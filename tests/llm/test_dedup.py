@@ -181,6 +181,24 @@ def test_near_copies_beside_nearer_ones(spark, docs):
     assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs(*rows)).collect()) == sorted(set(roots.values()))
 
 
+def test_near_copies_come_from_the_simhash_index(spark, docs, monkeypatch):
+    draw = random.Random(7)
+    originals = [[f"w{draw.randrange(3000)}" for _ in range(300)] for _ in range(20)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(originals)]
+    rows += [(100 + i, edited(w, draw, 1)) for i, w in enumerate(originals)] + [(200 + i, " ".join(w) + " end " * 2) for i, w in enumerate(originals)]
+    fps = {i: simhash.fingerprint(t.encode()) for i, t in rows}
+    linked = {i for i in fps if any(j < i and (fps[i] ^ fps[j]).bit_count() <= 3 for j in fps)}
+    assert len(linked) > 5
+    whole = sorted(r.doc_id for r in near_copies.drop_near_copies(docs(*rows)).collect())
+    assert whole == [*range(20)]
+    with monkeypatch.context() as m:  # what the fingerprints link goes without the prefix filter
+        m.setattr(near_copies, "candidates", lambda members, every: members.selectExpr("node AS a", "node AS b").limit(0))
+        assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs(*rows)).collect()) == sorted(set(fps) - linked)
+    with monkeypatch.context() as m:  # and what they do not link does not stay because of them
+        m.setattr(near_copies, "links", lambda fps: fps.selectExpr("fp AS a", "fp AS b").limit(0))
+        assert sorted(r.doc_id for r in near_copies.drop_near_copies(docs(*rows)).collect()) == whole
+
+
 def test_every_pair_in_reach_is_asked():
     # 40 sets of which one is nearest and smallest for all others in reach: the others' pairs are asked too
     sets = [np.arange(1, 401, dtype=np.uint64) * np.uint64(7919)] + [np.arange(1 + k, 401 + k, dtype=np.uint64) * np.uint64(7919) for k in range(1, 40)]
