@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from millrace.llm import byte_bpe, decontaminate, exact_dedup, near_copies, toxicity
-from millrace.llm._common import shared_folder, table
+from millrace.llm._common import freed, shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,7 +25,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Five-word shingles, a similarity of 0.8 or more: the wide form of SimHash near-dedup."""
+    """SimHash fingerprints through their index, verified; then five-word shingles for what they left: all pairs of a
+    similarity of 0.8 or more."""
     return near_copies.drop_near_copies(docs)
 
 
@@ -57,4 +58,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        freed(spark)
     return docs

@@ -2,7 +2,8 @@
 
 Each round replaces every node's links by links to its smallest neighbour; a few rounds (logarithmic in the longest
 path) leave one star a component. Rows are links, never groups; minima are pre-aggregated before the shuffle, and the
-joins read exchanged tables on both sides, so that Spark can split a node that most links lead to.
+joins read exchanged tables on both sides, so that Spark can split a node that most links lead to. A round is cut into
+one task for LINKS links, not into as many as there are shuffle partitions: few links would be mostly files.
 """
 
 from __future__ import annotations
@@ -12,18 +13,20 @@ from pyspark.sql import functions as F
 
 from ._common import kept
 
+LINKS = 20_000
 
-def _star(links: DataFrame, large: bool) -> DataFrame:
+
+def _star(links: DataFrame, large: bool, tasks: int) -> DataFrame:
     """links: node > low, distinct. Large: every larger neighbour of a node points to its smallest; small: every smaller one."""
     if large:
-        both = kept(links.select(F.col("low").alias("u"), F.col("node").alias("v")).unionByName(links.select(F.col("node").alias("u"), F.col("low").alias("v"))))
-        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")))
+        both = kept(links.select(F.col("low").alias("u"), F.col("node").alias("v")).unionByName(links.select(F.col("node").alias("u"), F.col("low").alias("v"))).coalesce(tasks))
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("u", "m").alias("m")).coalesce(tasks))
         moved = both.where("v > u").join(least, F.col("u") == F.col("w")).select(F.col("v").alias("node"), F.col("m").alias("low"))
     else:
-        least = kept(links.groupBy("node").agg(F.min("low").alias("m")).select(F.col("node").alias("w"), "m"))
+        least = kept(links.groupBy("node").agg(F.min("low").alias("m")).select(F.col("node").alias("w"), "m").coalesce(tasks))
         rest = links.join(least, F.col("node") == F.col("w")).where("low > m").select(F.col("low").alias("node"), F.col("m").alias("low"))
         moved = rest.unionByName(least.select(F.col("w").alias("node"), F.col("m").alias("low")))
-    return kept(moved.where("node > low").distinct())
+    return kept(moved.where("node > low").distinct().coalesce(tasks))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -39,5 +42,6 @@ def components(links: DataFrame) -> DataFrame:
         if (n, nodes, low, roots) == sign or not n:
             break
         sign = (n, nodes, low, roots)
-        at = _star(_star(at, True), False)
+        tasks = n // LINKS + 1
+        at = _star(_star(at, True, tasks), False, tasks)
     return at.select("node", F.col("low").alias("root"))
