@@ -143,33 +143,11 @@ class Attention:
         for name, d in (("q", dq), ("k", dk), ("v", dv)):
             g[name] = flat(f["h"]).T @ flat(d)
             dh = dh + flat(d) @ w[name].T
-        g["e"] = np.zeros_like(w["e"])
-        np.add.at(g["e"], x.ravel(), dh)
-        g["p"] = dh.reshape(f["h"].shape).sum(axis=0)
+        g["e"] = np.stack([np.bincount(x.ravel(), column, NUMBERS) for column in dh.T], axis=1).astype(dh.dtype)
+        g["p"] = np.zeros_like(w["p"])
+        g["p"][: x.shape[1]] = dh.reshape(f["h"].shape).sum(axis=0)
         return float(-scored.mean()), g
 
-    def train(self, x: np.ndarray, y: np.ndarray, steps: int = 400, batch: int = 48, rate: float = 4e-3, seed: int = 2) -> list[float]:
-        """Adam over windows (n, WINDOW) of inputs and targets, eight times over each at most; the losses."""
-        losses: list[float] = []
-        steps = min(steps, max(1, 8 * len(x) // batch))
-        if not len(x):
-            return losses
-        draw = np.random.default_rng(seed)
-        first = {k: np.zeros_like(v) for k, v in self.w.items()}
-        second = {k: np.zeros_like(v) for k, v in self.w.items()}
-        for step in range(1, steps + 1):
-            rows = draw.integers(0, len(x), batch)
-            loss, g = self._step(x[rows], y[rows])
-            losses.append(loss)
-            scale = min(1.0, 1.0 / (1e-12 + np.sqrt(sum(float((d * d).sum()) for d in g.values()))))
-            now = rate * min(1.0, step / 20) * (1 - 0.9 * step / steps)
-            for k, d in g.items():
-                d = d * np.float32(scale)
-                first[k] = 0.9 * first[k] + 0.1 * d
-                second[k] = 0.98 * second[k] + 0.02 * d * d
-                self.w[k] = (self.w[k] - now * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
-        return losses
-
     def score(self, inputs: np.ndarray, targets: np.ndarray, lengths: np.ndarray, together: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places, natural log-probabilities) of all targets, each once; texts are concatenated, `lengths` parts them."""
         start, size, skip = windows(lengths)
@@ -184,3 +162,54 @@ class Attention:
             real &= np.arange(length) >= skip[rows, None]
             here = place[real]
             yield here, self._heads(z[real], inputs[here], targets[here])[0]
+
+
+class Trainer:
+    """Adam over a stream of numbers of any length; every place is trained on.
+
+    Windows are filled across calls; finish() trains on what does not fill one. What comes in before LEAST steps are
+    done is gone through up to eight times, all else once.
+    """
+
+    LEAST, BATCH = 200, 128
+
+    def __init__(self, model: Attention, rate: float = 4e-3, seed: int = 2):
+        self.model, self.rate, self.draw, self.steps, self.places = model, rate, np.random.default_rng(seed), 0, 0
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in model.w.items()} for _ in range(2))
+        self.rest = np.zeros((2, 0), np.int64)
+
+    def add(self, inputs: np.ndarray, targets: np.ndarray) -> list[float]:
+        """The losses of the steps taken."""
+        told = np.concatenate([self.rest, np.stack([inputs, targets])], axis=1)
+        whole = told.shape[1] // WINDOW * WINDOW
+        self.rest = told[:, whole:]
+        return self._pass(*(row.reshape(-1, WINDOW) for row in told[:, :whole]))
+
+    def finish(self) -> None:
+        if self.rest.size:
+            self._pass(*(row[None, :] for row in self.rest))
+            self.rest = self.rest[:, :0]
+
+    def _pass(self, x: np.ndarray, y: np.ndarray) -> list[float]:
+        losses: list[float] = []
+        if not len(x):
+            return losses
+        self.places += x.size
+        each = -(-len(x) // self.BATCH)
+        for _ in range(min(8, max(1, -(-(self.LEAST - self.steps) // each)))):
+            for rows in np.array_split(self.draw.permutation(len(x)), each):
+                losses.append(self._step(x[rows], y[rows]))
+        return losses
+
+    def _step(self, x: np.ndarray, y: np.ndarray) -> float:
+        loss, g = self.model._step(x, y)
+        self.steps += 1
+        w, step = self.model.w, self.steps
+        scale = min(1.0, 1.0 / (1e-12 + np.sqrt(sum(float((d * d).sum()) for d in g.values()))))
+        now = self.rate * min(1.0, step / 20) / np.sqrt(1 + step / self.LEAST)
+        for k, d in g.items():
+            d = d * np.float32(scale)
+            self.first[k] = 0.9 * self.first[k] + 0.1 * d
+            self.second[k] = 0.98 * self.second[k] + 0.02 * d * d
+            w[k] = (w[k] - now * (self.first[k] / (1 - 0.9**step)) / (np.sqrt(self.second[k] / (1 - 0.98**step)) + 1e-8)).astype(np.float32)
+        return loss

@@ -6,8 +6,9 @@ HEAD most frequent words travel with the tasks, all others are joined by the wor
 
 The model reads each word, with a space before it, as ids of a byte-level BPE, numbered by their frequency in the
 training rows: NUMBERS - 1 of them, the rest shares one number and is told apart by count. Single and pair counts cover
-all training rows; the attention block is trained in numpy on at most SAMPLE_DOCS training texts of at most
-SAMPLE_BYTES (chosen by a hash of the id). Whole texts are scored in overlapping windows, each place once.
+all training rows, and so does the attention block: each task trains it in numpy on all its rows, whole texts, from
+the same beginning, and the tasks' weights are averaged by the places they have read. Whole texts are scored in
+overlapping windows, each place once.
 
 Null and empty texts consist of the end. Without training rows counts are zero and all estimates uniform. An empty table
 gives no rows.
@@ -26,10 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import kept, parts, slices, utf8
-from .attention import NUMBERS, WINDOW, Attention, bigram_tables
+from .attention import NUMBERS, Attention, Trainer, bigram_tables
 from .byte_bpe import MergeReplay
 
-HEAD, SAMPLE_DOCS, SAMPLE_BYTES, BLOCK_BYTES, CACHE_WORDS = 100_000, 600, 16_384, 4 << 20, 300_000
+HEAD, BLOCK_BYTES, CACHE_WORDS = 100_000, 4 << 20, 300_000
+#: In how many parts the tasks' weights are summed.
+PARTS = 16
 END, RARE = 0, NUMBERS - 1
 
 
@@ -171,13 +174,42 @@ def pair_counts(texts: DataFrame, subwords: Subwords) -> np.ndarray:
     return _collected(texts.select("mr_text").mapInArrow(count, "cell long, n long"), NUMBERS * NUMBERS).reshape(NUMBERS, NUMBERS)
 
 
-def trained(sample: list[bytes], subwords: Subwords, pairs: np.ndarray) -> Attention:
-    """The model: bigram tables from all counts, the attention block from the sample."""
+def trained(texts: DataFrame, subwords: Subwords, pairs: np.ndarray) -> Attention:
+    """The model over the column mr_text: bigram tables from all counts, the attention block from all texts."""
     model = Attention(*bigram_tables(pairs, pairs.sum(axis=0)))
-    if sample:
-        targets = subwords.reader().read([x.lower().split() for x in sample])[0]
-        whole = len(targets) // WINDOW * WINDOW
-        model.train(_inputs(targets)[:whole].reshape(-1, WINDOW), targets[:whole].reshape(-1, WINDOW))
+    shapes = {k: v.shape for k, v in model.w.items()}
+    schema = "part int, places long, weights binary"
+
+    def rows(summed: dict[int, tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        columns = [pa.array(list(summed), pa.int32()), pa.array([n for n, _ in summed.values()], pa.int64()), pa.array([w.tobytes() for _, w in summed.values()], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["part", "places", "weights"])
+
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader, trainer = subwords.reader(), Trainer(model)
+        for batch in batches:
+            for part in slices(batch, "mr_text", BLOCK_BYTES):
+                targets = reader.read(_split(part))[0]
+                trainer.add(_inputs(targets), targets)
+        trainer.finish()
+        weights = np.concatenate([v.ravel() for v in model.w.values()]).astype(np.float64) * trainer.places
+        if trainer.places:
+            yield rows({i: (trainer.places, w) for i, w in enumerate(np.array_split(weights, PARTS))})
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        summed: dict[int, tuple[int, np.ndarray]] = {}
+        for batch in batches:
+            for part, places, weights in zip(*(batch.column(c).to_pylist() for c in ("part", "places", "weights")), strict=True):
+                n, w = summed.get(part, (0, 0.0))
+                summed[part] = n + places, w + np.frombuffer(weights)
+        yield rows(summed)
+
+    found = texts.select("mr_text").mapInArrow(train, schema).repartition("part").mapInArrow(add, schema).orderBy("part").collect()  # PARTS rows
+    if found:
+        flat, at = np.concatenate([np.frombuffer(bytes(w)) / places for _, places, w in found]).astype(np.float32), 0
+        for k, shape in shapes.items():
+            size = int(np.prod(shape))
+            model.w[k] = flat[at : at + size].reshape(shape)
+            at += size
     return model
 
 
@@ -192,8 +224,7 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     head = words.select("word", "n").orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
     counts = dict(zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True))
     subwords = Subwords.of(path, subword_counts(words, len(MergeReplay.of(path, "").token)))
-    sample = training.where(F.octet_length("mr_text") <= SAMPLE_BYTES).orderBy(F.xxhash64("doc_id"), "doc_id", "mr_text").limit(SAMPLE_DOCS).select("mr_text").toArrow()
-    model = trained(utf8(sample.column("mr_text").combine_chunks()), subwords, pair_counts(training, subwords))
+    model = trained(training, subwords, pair_counts(training, subwords))
     unknown = float(np.log10(1 / (n + v + 1)))
     schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_score", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
 

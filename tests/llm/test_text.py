@@ -227,6 +227,29 @@ def test_pair_counts_across_word_ends(spark, docs):
     assert {(int(a), int(b)): int(pairs[a, b]) for a, b in zip(*np.nonzero(pairs), strict=True)} == want
 
 
+def test_the_attention_block_learns_from_all_training_texts(spark):
+    """A text of any length, from each task, averaged by places."""
+    draw = random.Random(9)
+    texts = [" ".join(draw.choice(["red", "green", "blue", "grey"]) for _ in range(n)) for n in (9000, 5, 3000, 0)]
+    size = len(byte_bpe.MergeReplay.of(PATH, "").token)
+    groups = (texts[:2], texts[2:])
+    one, two, both = (spark.createDataFrame(spark.sparkContext.parallelize([(t,) for t in some], n), "mr_text string") for some, n in (*((g, 1) for g in groups), (texts, 2)))
+    subwords = lm_scoring.Subwords.of(PATH, lm_scoring.subword_counts(lm_scoring.word_counts(both, PATH), size))
+    pairs = lm_scoring.pair_counts(both, subwords)
+    alone, places = [lm_scoring.trained(t, subwords, pairs).w for t in (one, two)], []
+    for some in groups:
+        trainer = attention.Trainer(attention.Attention(*attention.bigram_tables(pairs, pairs.sum(axis=0))))
+        targets = subwords.reader().read([t.encode().split() for t in some])[0]
+        losses = trainer.add(lm_scoring._inputs(targets), targets)
+        trainer.finish()
+        assert trainer.places == len(targets) and not trainer.rest.size and losses[-1] < losses[0]
+        places.append(trainer.places)
+    got = lm_scoring.trained(both, subwords, pairs).w
+    for k in got:
+        assert np.allclose(got[k], (alone[0][k].astype(float) * places[0] + alone[1][k].astype(float) * places[1]) / sum(places), atol=1e-5)
+    assert len(texts[0]) > 16_384 and np.abs(got["c"]).max() > 0
+
+
 def test_gradients():
     draw = np.random.default_rng(0)
     pairs = draw.integers(0, 3, (attention.NUMBERS, attention.NUMBERS)).astype(float)
