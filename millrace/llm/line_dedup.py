@@ -17,7 +17,8 @@ lines in question are fetched.
 Words that many lines have in their prefix come from groups of near copies. They are found on a sample of the sets
 (which decides what is done first, never what is found). The sets of such a list are first compared with the list's
 earliest one; those that match it are settled, and the full join then asks about the others only, so a group of near
-copies is not multiplied into all its pairs.
+copies is not multiplied into all its pairs. A bitmap of the sampled words keeps the postings of all other words out
+of the first of these joins; what a step has shuffled is let go before the next one.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Marks, identity, kept, written
+from ._common import Marks, freed, identity, kept, written
 
 THRESHOLD = 0.8
 #: Counts of the rarity table; one set in SAMPLE is asked for hot words, of which HOT of these have each.
@@ -101,7 +102,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
 
     A set's earliest partner is asked first; most sets are settled by it, and only the others are asked about the rest.
     """
-    pairs = kept(pairs.select("x", "y").distinct())
+    pairs = written(pairs.select("x", "y").distinct())
+    freed(texts.sparkSession)
     asked = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
     asked = kept(sets.join(asked, "key", "left_semi").select("key", *_PLACE))
     lines = _lines(texts.where(Marks(asked, "doc", "mark").has())).where(Marks(asked, *_PLACE).has())
@@ -116,7 +118,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     placed = placed.where(apart <= F.col("x_n") + F.col("y_n") - 2 * _least_overlap(F.col("x_n"), F.col("y_n")))
     swap = F.col("x_place") > F.col("y_place")
     placed = placed.select(F.when(swap, F.col("x")).otherwise(F.col("y")).alias("late"), F.when(swap, F.struct("y_place", "y")).otherwise(F.struct(F.col("x_place").alias("y_place"), F.col("x").alias("y"))).alias("early"))
-    placed = kept(placed)
+    placed = written(placed)
+    freed(texts.sparkSession)
 
     def similar(pairs: DataFrame) -> DataFrame:
         """late, of the pairs (late, early: keys) that are similar enough."""
@@ -128,7 +131,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     first = placed.groupBy("late").agg(F.min("early").alias("early")).select("late", F.col("early.y").alias("early"))
     settled = written(similar(first))
     rest = placed.join(settled, "late", "left_anti").select("late", F.col("early.y").alias("early"))
-    rest = kept(rest.join(first, ["late", "early"], "left_anti"))
+    rest = written(rest.join(first, ["late", "early"], "left_anti"))
     return written(settled.unionByName(similar(rest)).withColumnRenamed("late", "key"))
 
 
@@ -153,13 +156,16 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # equal sets are one: that of the first place
     sets = here.groupBy("key", "n", "bits").agg(F.min(F.struct(*_PLACE)).alias("at"), F.first("prefix").alias("prefix"))
     sets = written(sets.select("key", *(f"at.{c}" for c in _PLACE), "n", "bits", "prefix"))
+    freed(docs.sparkSession)
 
     # lists of frequent words: settle what matches the earliest set of its list
     seen = _postings(sets.where(F.pmod("key", F.lit(SAMPLE)) == 0)).groupBy("token").count()
     hot = written(seen.where(F.col("count") >= HOT).select("token"))
+    is_hot = Marks(hot, "token").has()  # most postings are of other words and are not shuffled
     first = F.min(F.struct(*_PLACE, "key", "at", "bits")).alias("f")
-    leaders = written(_postings(sets, *_PLACE).join(hot, "token").groupBy("token").agg(first).select("token", F.col("f.key").alias("y"), F.col("f.at").alias("y_at"), F.col("f.bits").alias("y_bits")))
-    led = _postings(sets).select("token", F.col("key").alias("x"), F.col("at").alias("x_at"), F.col("bits").alias("x_bits")).join(leaders, "token")
+    leaders = written(_postings(sets, *_PLACE).where(is_hot).join(hot, "token").groupBy("token").agg(first).select("token", F.col("f.key").alias("y"), F.col("f.at").alias("y_at"), F.col("f.bits").alias("y_bits")))
+    freed(docs.sparkSession)
+    led = _postings(sets).where(is_hot).select("token", F.col("key").alias("x"), F.col("at").alias("x_at"), F.col("bits").alias("x_bits")).join(leaders, "token")
     settled = _verified(led.where((F.col("x") != F.col("y")) & _may_match("x_", "y_")), sets, texts)
 
     # the join asks about the others

@@ -240,6 +240,23 @@ def test_line_dedup(spark, docs, monkeypatch, hot, sample):
     assert line_dedup.line_dedup(docs()).count() == 0
 
 
+def test_only_hot_words_enter_the_first_join_of_lines(spark, docs, monkeypatch):
+    asked = []
+
+    class Told(line_dedup.Marks):
+        def __init__(self, keys, *columns):
+            super().__init__(keys, *columns)
+            asked.append((columns, keys.count()))
+
+    monkeypatch.setattr(line_dedup, "Marks", Told)
+    monkeypatch.setattr(line_dedup, "SAMPLE", 1)
+    rows = [(i, f"one two three four five six seven eight nine x{i}\nalone{i} apart{i}") for i in range(10)]
+    got = {r.doc_id: r.removed for r in line_dedup.line_dedup(docs(*rows)).collect()}
+    assert got == plain_line_dedup(rows)
+    [hot] = [n for columns, n in asked if columns == ("token",)]
+    assert 0 < hot < 10
+
+
 def test_line_dedup_of_rows_that_repeat_an_id(spark, docs):
     table = docs((1, "aaa bbb ccc"), (5, "AAA bbb\tccc"), (5, "xxx yyy zzz"), (5, "xxx yyy zzz"), (None, "q r s")).withColumn("mr_id", F.lit(3)).withColumn("text_mark", F.lit("m"))
     out = line_dedup.line_dedup(table)
