@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -51,8 +52,12 @@ def written(df: DataFrame) -> DataFrame:
 
 def freed(spark: SparkSession) -> None:
     """Lets go of what past steps shuffled: Spark deletes those files once the driver's JVM has collected their plans,
-    which it does only when its heap is full. Tables of kept() and written() stay."""
+    which it does only when its heap is full. Tables of kept() and written() stay. What the driver's Python no longer
+    uses goes back to the system too: the C library would keep it, next to the JVM's memory."""
     spark.sparkContext._jvm.System.gc()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def identity(text: Column) -> Column:

@@ -3,7 +3,9 @@
 Each round replaces every node's links by links to its smallest neighbour; a few rounds (logarithmic in the longest
 path) leave one star a component. Rows are links, never groups; minima are pre-aggregated before the shuffle, and the
 joins read exchanged tables on both sides, so that Spark can split a node that most links lead to. A round is cut into
-one task for LINKS links, not into as many as there are shuffle partitions: few links would be mostly files.
+one task for LINKS links, not into as many as there are shuffle partitions: few links would be mostly files. Its result
+is read back from Parquet: a checkpoint keeps the constraints (u < v) that the planner inferred, and those would multiply
+from round to round until planning takes the driver's time and memory.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept
+from ._common import freed, kept, written
 
 LINKS = 20_000
 
@@ -26,7 +28,7 @@ def _star(links: DataFrame, large: bool, tasks: int) -> DataFrame:
         least = kept(links.groupBy("node").agg(F.min("low").alias("m")).select(F.col("node").alias("w"), "m").coalesce(tasks))
         rest = links.join(least, F.col("node") == F.col("w")).where("low > m").select(F.col("low").alias("node"), F.col("m").alias("low"))
         moved = rest.unionByName(least.select(F.col("w").alias("node"), F.col("m").alias("low")))
-    return kept(moved.where("node > low").distinct().coalesce(tasks))
+    return written(moved.where("node > low").distinct().coalesce(tasks))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -44,4 +46,5 @@ def components(links: DataFrame) -> DataFrame:
         sign = (n, nodes, low, roots)
         tasks = n // LINKS + 1
         at = _star(_star(at, True, tasks), False, tasks)
+        freed(links.sparkSession)
     return at.select("node", F.col("low").alias("root"))

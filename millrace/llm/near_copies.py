@@ -36,6 +36,8 @@ from .simhash import dealt, fingerprint, links, runs
 SHINGLE, SIMILARITY = 5, 0.8
 #: Counts of the rarity table, and in how many parts it is summed; bits of a set's bitmap.
 BUCKETS, PARTS, BITS = 1 << 18, 64, 512
+#: Lists of so many members at most are compared many at a time, about CELLS pairs of them.
+SHORT, CELLS = 16, 1 << 17
 
 
 def shingle_hashes(text: bytes) -> np.ndarray:
@@ -142,14 +144,18 @@ def nearest_pairs(sizes: np.ndarray, bits: np.ndarray, roots: np.ndarray) -> tup
     return np.concatenate(a), np.concatenate(b)
 
 
+def in_reach(n: np.ndarray, m: np.ndarray, apart: np.ndarray) -> np.ndarray:
+    """Whether sets of n and m shingles whose bitmaps are `apart` bits apart may be alike."""
+    return (np.minimum(n, m) >= SIMILARITY * np.maximum(n, m) - 1e-9) & (apart <= n + m - 2 * least_overlap(n + m))
+
+
 def distances(words: np.ndarray, sizes: np.ndarray, at: int) -> np.ndarray:
     """Bits between 64 members from place `at` on and all members; BITS + 1 for what is out of reach, and for itself."""
     rows = slice(at, at + 64)
     apart = np.zeros((len(words[rows]), len(words)), np.int64)
     for word in range(words.shape[1]):
         apart += np.bitwise_count(words[rows, None, word] ^ words[None, :, word])
-    n, m = sizes[rows, None], sizes[None, :]
-    reach = (np.minimum(n, m) >= SIMILARITY * np.maximum(n, m) - 1e-9) & (apart <= n + m - 2 * least_overlap(n + m))
+    reach = in_reach(sizes[rows, None], sizes[None, :], apart)
     here = np.arange(len(apart))
     reach[here, at + here] = False
     return np.where(reach, apart, BITS + 1)
@@ -173,6 +179,26 @@ def crossing_pairs(sizes: np.ndarray, bits: np.ndarray, roots: np.ndarray) -> It
         yield at + a, b
 
 
+def short_pairs(sizes: np.ndarray, bits: np.ndarray, roots: np.ndarray, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What crossing_pairs() (every) or nearest_pairs() finds, of many lists of one length: a row of sizes, bits and roots
+    for each list. Places count through the lists laid end to end."""
+    lists, length = sizes.shape
+    words, far, each = np.ascontiguousarray(bits).view(np.uint64), BITS + 1, max(1, CELLS // length**2)
+    for at in range(0, lists, each):
+        rows = slice(at, at + each)
+        apart = np.zeros((len(sizes[rows]), length, length), np.int64)
+        for word in range(words.shape[2]):
+            apart += np.bitwise_count(words[rows, :, None, word] ^ words[rows, None, :, word])
+        near = np.where(in_reach(sizes[rows, :, None], sizes[rows, None, :], apart) & (roots[rows, :, None] != roots[rows, None, :]), apart, far)
+        if every:
+            row, a, b = np.nonzero(np.triu(near < far, 1))
+            yield (at + row) * length + a, (at + row) * length + b
+            continue
+        for other in (near.argmin(axis=2), (near < far).argmax(axis=2)):
+            row, a = np.nonzero(np.take_along_axis(near, other[:, :, None], 2)[:, :, 0] < far)
+            yield (at + row) * length + a, (at + row) * length + other[row, a]
+
+
 def candidates(members: DataFrame, every: bool) -> DataFrame:
     """a, b: pairs of nodes that may be alike. Of each list (node, size, bits, root) the nearest and the smallest of each
     member, or every pair; of different roots both."""
@@ -180,11 +206,25 @@ def candidates(members: DataFrame, every: bool) -> DataFrame:
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in runs(batches, ("node", "size", "bits", "root")):
-            for node, size, bits, root in group:
-                if (root == root[0]).all():
+            by_length: dict[int, list[list[np.ndarray]]] = {}
+            for one in group:
+                by_length.setdefault(len(one[0]), []).append(one)
+            for length, found in by_length.items():
+                if length < 2:
                     continue
-                sizes, rows = size.astype(np.int64), np.frombuffer(b"".join(bits.tolist()), np.uint8).reshape(-1, BITS // 8)
-                for a, b in crossing_pairs(sizes, rows, root) if every else [nearest_pairs(sizes, rows, root)]:
+                node, size, bits, root = (np.concatenate(column) for column in zip(*found, strict=True))
+                lists = root.reshape(-1, length)
+                crossing = np.repeat((lists != lists[:, :1]).any(axis=1), length)
+                if not crossing.any():
+                    continue
+                node, sizes, root = node[crossing], size[crossing].astype(np.int64).reshape(-1, length), root[crossing].reshape(-1, length)
+                rows = np.frombuffer(b"".join(bits[crossing].tolist()), np.uint8).reshape(-1, length, BITS // 8)
+                if length <= SHORT:
+                    pairs = short_pairs(sizes, rows, root, every)
+                else:
+                    of = lambda i: crossing_pairs(sizes[i], rows[i], root[i]) if every else [nearest_pairs(sizes[i], rows[i], root[i])]  # noqa: B023, E731
+                    pairs = ((i * length + a, i * length + b) for i in range(len(sizes)) for a, b in of(i))
+                for a, b in pairs:
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(node[a], node[b]))], ["a", "b"])
 
     return members.mapInArrow(tally, "a long, b long").distinct()
@@ -204,10 +244,13 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in parts(batches, "a_text"):
-            alike = []
-            for x, y in zip(utf8(batch.column("a_text")), utf8(batch.column("b_text")), strict=True):
-                s, t = shingles(x), shingles(y)
-                common = len(s & t)
+            alike, sets = [], {}  # a text is read once for all its pairs of a part
+            for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in "ab"), utf8(batch.column("a_text")), utf8(batch.column("b_text")), strict=True):
+                for node, text in ((a, x), (b, y)):
+                    if node not in sets:
+                        sets[node] = shingle_hashes(text)
+                s, t = sets[a], sets[b]
+                common = len(np.intersect1d(s, t, assume_unique=True))
                 alike.append(common >= SIMILARITY * (len(s) + len(t) - common))
             yield batch.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
@@ -225,7 +268,10 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     for every in (False, True):
         told = joined.select(F.col("node").alias("linked"), "root")
         members = listed.join(told, F.col("node") == F.col("linked"), "left").withColumn("root", F.coalesce("root", "node")).drop("linked")
-        more = kept(verified(kept(candidates(members, every)), docs, text_col))
+        asked = kept(candidates(members, every))
+        freed(docs.sparkSession)
+        more = kept(verified(asked, docs, text_col))
+        freed(docs.sparkSession)
         joined = kept(components(joined.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)))
         freed(docs.sparkSession)
     roots = nodes.select("node", "low").join(joined.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))

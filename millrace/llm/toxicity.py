@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept, parts, utf8
+from ._common import freed, kept, parts, utf8
 
 #: Bytes of a window and between two; of a passage to learn from; of a run. Passages of a toxic document, windows of an ordinary one.
 WINDOW, STEP, PASSAGE, RUN, PASSAGES, PLAIN = 48, 24, 24, 7, 6, 12
@@ -206,6 +206,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample = rows.orderBy("mr_text").toArrow()
     texts_of = lambda kind: utf8(sample.filter(pc.equal(sample.column("mr_label"), kind)).column("mr_text").combine_chunks())
     raw = dictionaries(texts_of(1), texts_of(0))
+    freed(docs.sparkSession)  # counting the runs of the sample takes some hundred MB
     if not raw.toxic:
         return raw
 

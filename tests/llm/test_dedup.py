@@ -1,5 +1,6 @@
 import hashlib
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -7,6 +8,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from millrace.llm import exact_dedup, line_dedup, near_copies, simhash
+from millrace.llm._common import freed
 from millrace.llm.components import components
 
 
@@ -125,6 +127,13 @@ def edited(words, draw, n):
     return " ".join(words)
 
 
+def test_components_carry_no_constraints_from_round_to_round(spark):
+    ids = random.Random(1).sample(range(60), 60)
+    out = components(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long"))
+    assert out._jdf.queryExecution().optimizedPlan().constraints().size() == 0
+    assert sorted(map(tuple, out.collect())) == [(i, 0) for i in range(1, 60)]
+
+
 def test_near_copies(spark, docs, odd):
     draw = random.Random(4)
     originals = [[f"w{draw.randrange(3000)}" for _ in range(300)] for _ in range(40)]
@@ -224,6 +233,33 @@ def plain_line_dedup(rows):
     return out
 
 
+@pytest.mark.parametrize("every", [True, False])
+def test_short_lists_together_are_as_each_alone(monkeypatch, every):
+    monkeypatch.setattr(near_copies, "CELLS", 40)
+    draw = np.random.default_rng(4)
+    for length in (2, 3, 5):
+        base = draw.integers(0, 1 << 62, (30, 80)).astype(np.uint64)
+        sets = [[np.unique(np.r_[x[: 80 - draw.integers(0, 25)], draw.integers(0, 1 << 62, draw.integers(0, 9)).astype(np.uint64)]) for _ in range(length)] for x in base]
+        sizes, bits = np.array([[len(x) for x in row] for row in sets]), np.array([[near_copies.bitmap(x) for x in row] for row in sets])
+        roots = draw.integers(0, 3, sizes.shape)
+        found = {(int(x), int(y)) for a, b in near_copies.short_pairs(sizes, bits, roots, every) for x, y in zip(a, b, strict=True)}
+        alone = set()
+        for i in range(len(sizes)):
+            for a, b in near_copies.crossing_pairs(sizes[i], bits[i], roots[i]) if every else [near_copies.nearest_pairs(sizes[i], bits[i], roots[i])]:
+                alone |= {(i * length + int(x), i * length + int(y)) for x, y in zip(a, b, strict=True)}
+        assert found == alone and found
+
+
+def test_freed_memory_of_the_drivers_python_goes_back(spark):
+    resident = lambda: int(Path("/proc/self/statm").read_text().split()[1]) * 4096 >> 20
+    held = [b"x" * (40_000 + i) for i in range(5000)]
+    last = held[-1]  # it keeps what lies before it from being given back by itself
+    del held
+    before = resident()
+    freed(spark)
+    assert before - resident() > 100 and last
+
+
 @pytest.mark.parametrize(("hot", "sample"), [(2, 1), (3, 8)])
 def test_line_dedup(spark, docs, monkeypatch, hot, sample):
     monkeypatch.setattr(line_dedup, "HOT", hot)
