@@ -11,8 +11,9 @@ bucket's count and then by its 64-bit hash. That order is total and the same eve
 Equal sets (by a 64-bit key of all words, size and bitmap) become one row before anything is joined. Two matching sets
 share one of their rarest words, those of the prefix (n - ceil(t n) + 1 of n words); pairs that do are filtered by
 length, by position in the prefix, and by the parity bitmaps of their words, which never differ in more bits than the
-sets in words. A posting is four numbers; what is left is verified on the 64-bit hashes of all words, for which only
-lines in question are fetched.
+sets in words. Bitmaps grow with the set (64 bits, 128 beyond NARROW words, 256 beyond twice as many): in fewer bits any
+two long lines look alike, so that the pairs of a common word would all be asked about. A posting is a few numbers; what
+is left is verified on the 64-bit hashes of all words, for which only lines in question are fetched.
 
 Words that many lines have in their prefix come from groups of near copies. They are found on a sample of the sets
 (which decides what is done first, never what is found). The sets of such a list are first compared with the list's
@@ -31,9 +32,10 @@ from ._common import Marks, freed, identity, kept, written
 THRESHOLD = 0.8
 #: Counts of the rarity table; one set in SAMPLE is asked for hot words, of which HOT of these have each.
 BUCKETS, SAMPLE, HOT = 1 << 16, 8, 3
-#: Parts, of 64 bits each, of the bitmap that pairs pass before their words are compared.
-WIDE = 4
+#: Words of a set up to which 64 bits tell sets apart.
+NARROW = 64
 _PLACE = ("doc", "mark", "pos")
+_BITS = ("bits", "w0", "w1", "w2")
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -53,10 +55,21 @@ def _hashes() -> Column:
     return F.array_distinct(F.array_remove(F.transform(F.split("line", " "), lambda w: F.xxhash64(w)), F.xxhash64(F.lit(""))))
 
 
-def _wide(i: int) -> Column:
-    """The i-th part of a bitmap: the parities of those words of column words that fall into it."""
-    bit = lambda w: F.when(F.shiftright(w, 26).bitwiseAND(WIDE - 1) == i, _shifted(1, F.shiftright(w, 20).bitwiseAND(63).cast("int"))).otherwise(F.lit(0).cast("long"))
-    return F.aggregate("words", F.lit(0).cast("long"), lambda a, w: a.bitwiseXOR(bit(w)))
+def _parity(part: int | None = None, of: int = 1) -> Column:
+    """64 parities of the words of column ranks, or of those words alone that fall into this part `of` so many."""
+    bit = lambda r: _shifted(1, F.shiftright(r, 20).bitwiseAND(63).cast("int"))
+    inside = lambda r: F.shiftright(r, 26).bitwiseAND(of - 1) == part
+    words = F.col("ranks") if part is None else F.filter("ranks", inside)
+    return F.aggregate(words, F.lit(0).cast("long"), lambda a, r: a.bitwiseXOR(bit(r)))
+
+
+def _bitmap(n: Column) -> list[Column]:
+    """The columns _BITS. All parts of a bitmap together give bits, so its last part is not stored; w0 and w2 together
+    give the first of two parts, also where there are four."""
+    none = F.lit(0).cast("long")
+    four = lambda i: F.when(n > 2 * NARROW, _parity(i, 4)).otherwise(none)
+    first = F.when(n > 2 * NARROW, _parity(0, 4)).when(n > NARROW, _parity(0, 2)).otherwise(none)
+    return [c.alias(name) for name, c in zip(_BITS, (_parity(), first, four(1), four(2)), strict=True)]
 
 
 def _numbers(values: list[int]) -> Column:
@@ -86,14 +99,19 @@ def _size(side: str) -> Column:
 
 
 def _may_match(a: str, b: str) -> Column:
-    """Length, position and bitmap filters; a and b prefix the columns at (size, then place in the prefix) and bits."""
+    """Length, position and bitmap filters; a and b prefix the columns at (size, then place in the prefix) and _BITS."""
     n, m = _size(a), _size(b)
+    bits, w0, w1, w2 = (F.col(f"{a}{c}").bitwiseXOR(F.col(f"{b}{c}")) for c in _BITS)
+    half = w0.bitwiseXOR(w2)
+    count = lambda *parts: sum((F.bit_count(c) for c in parts[1:]), F.bit_count(parts[0]))
     p, q = (F.col(f"{s}at").bitwiseAND(0xFFFFFFFF) for s in (a, b))
     least = _least_overlap(n, m)
     return (
         (F.least(n, m) >= F.greatest(n, m) * THRESHOLD - 1e-9)
         & (F.least(n - p, m - q) >= least)
-        & (F.bit_count(F.col(f"{a}bits").bitwiseXOR(F.col(f"{b}bits"))) <= n + m - 2 * least)
+        & (count(bits) <= n + m - 2 * least)
+        & ((F.least(n, m) <= NARROW) | (count(half, bits.bitwiseXOR(half)) <= n + m - 2 * least))
+        & ((F.least(n, m) <= 2 * NARROW) | (count(w0, w1, w2, bits.bitwiseXOR(half).bitwiseXOR(w1)) <= n + m - 2 * least))
     )
 
 
@@ -104,18 +122,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
     """
     pairs = written(pairs.select("x", "y").distinct())
     freed(texts.sparkSession)
-    asked = pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct()
-    asked = kept(sets.join(asked, "key", "left_semi").select("key", *_PLACE))
+    asked = kept(pairs.select(F.explode(F.array("x", "y")).alias("key")).distinct())
+    asked = kept(sets.where(Marks(asked, "key").has()).join(asked, "key", "left_semi").select("key", *_PLACE))
     lines = _lines(texts.where(Marks(asked, "doc", "mark").has())).where(Marks(asked, *_PLACE).has())
     place = asked.select("key", *(F.col(c).alias(f"a_{c}") for c in _PLACE))
     told = lines.join(place, F.col("doc").eqNullSafe(F.col("a_doc")) & (F.col("mark") == F.col("a_mark")) & (F.col("pos") == F.col("a_pos")))
-    told = told.select("key", *_PLACE, _hashes().alias("words"))
-    # a wider bitmap than that of the postings: pairs that are not quite similar go before words are joined
-    told = written(told.select("*", F.size("words").alias("n"), *(_wide(i).alias(f"w{i}") for i in range(WIDE))))
-    at = lambda side: told.select(F.col("key").alias(side), F.struct(*_PLACE).alias(f"{side}_place"), *(F.col(c).alias(f"{side}_{c}") for c in ("n", *(f"w{i}" for i in range(WIDE)))))
+    told = written(told.select("key", _hashes().alias("words")).withColumn("n", F.size("words")))
+    at = lambda side: asked.select(F.col("key").alias(side), F.struct(*_PLACE).alias(f"{side}_place"))
     placed = pairs.join(at("x"), "x").join(at("y"), "y")
-    apart = sum((F.bit_count(F.col(f"x_w{i}").bitwiseXOR(F.col(f"y_w{i}"))) for i in range(WIDE)), F.lit(0))
-    placed = placed.where(apart <= F.col("x_n") + F.col("y_n") - 2 * _least_overlap(F.col("x_n"), F.col("y_n")))
     swap = F.col("x_place") > F.col("y_place")
     placed = placed.select(F.when(swap, F.col("x")).otherwise(F.col("y")).alias("late"), F.when(swap, F.struct("y_place", "y")).otherwise(F.struct(F.col("x_place").alias("y_place"), F.col("x").alias("y"))).alias("early"))
     placed = written(placed)
@@ -136,8 +150,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _postings(sets: DataFrame, *more: str) -> DataFrame:
-    """token, key, at (size and place in the prefix), bits."""
-    return sets.select("key", "n", "bits", *more, F.posexplode("prefix").alias("p", "token")).select("token", "key", (_shifted(F.col("n").cast("long"), F.lit(32)) + F.col("p")).alias("at"), "bits", *more)
+    """token, key, at (size and place in the prefix), bitmap."""
+    return sets.select("key", "n", *_BITS, *more, F.posexplode("prefix").alias("p", "token")).select("token", "key", (_shifted(F.col("n").cast("long"), F.lit(32)) + F.col("p")).alias("at"), *_BITS, *more)
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -145,32 +159,35 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     that have lines with words."""
     texts = _texts(docs, id_col, text_col)
     rarity = _rarity(_lines(texts))
-    rank = lambda h: F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")) + h.bitwiseAND((1 << 55) - 1)
-    told = _lines(texts).select(*_PLACE, F.sort_array(F.transform(_hashes(), rank)).alias("ranks"))
-    bits = F.aggregate("ranks", F.lit(0).cast("long"), lambda a, r: a.bitwiseXOR(_shifted(1, F.shiftright(r, 20).bitwiseAND(63).cast("int"))))
-    n = F.size("ranks")
+    # never null, so that the ranks are sorted as plain numbers
+    rank = lambda h: F.coalesce(F.get(rarity, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("long")).bitwiseOR(h.bitwiseAND((1 << 55) - 1))
+    # the hashes are a column used twice: within the lambda's own expression they would not be compiled
+    told = _lines(texts).select(*_PLACE, _hashes().alias("hashes"))
+    told = told.select(*_PLACE, F.size("hashes").alias("n"), F.sort_array(F.transform("hashes", rank)).alias("ranks"))
+    n = F.col("n")
     # 31 bits name a word in a list: words that share them share a list, which only makes it longer
     prefix = F.slice("ranks", 1, (n - F.ceil(n * THRESHOLD - 1e-9) + 1).cast("int"))
-    here = written(told.select(*_PLACE, n.alias("n"), F.xxhash64("ranks").alias("key"), bits.alias("bits"), F.transform(prefix, lambda r: r.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix")))
+    here = written(told.select(*_PLACE, n, F.xxhash64("ranks").alias("key"), *_bitmap(n), F.transform(prefix, lambda r: r.bitwiseAND(0x7FFFFFFF).cast("int")).alias("prefix")))
 
     # equal sets are one: that of the first place
-    sets = here.groupBy("key", "n", "bits").agg(F.min(F.struct(*_PLACE)).alias("at"), F.first("prefix").alias("prefix"))
-    sets = written(sets.select("key", *(f"at.{c}" for c in _PLACE), "n", "bits", "prefix"))
+    sets = here.groupBy("key", "n", "bits").agg(F.min(F.struct(*_PLACE)).alias("at"), *(F.first(c).alias(c) for c in (*_BITS[1:], "prefix")))
+    sets = written(sets.select("key", *(f"at.{c}" for c in _PLACE), "n", *_BITS, "prefix"))
     freed(docs.sparkSession)
 
     # lists of frequent words: settle what matches the earliest set of its list
     seen = _postings(sets.where(F.pmod("key", F.lit(SAMPLE)) == 0)).groupBy("token").count()
     hot = written(seen.where(F.col("count") >= HOT).select("token"))
     is_hot = Marks(hot, "token").has()  # most postings are of other words and are not shuffled
-    first = F.min(F.struct(*_PLACE, "key", "at", "bits")).alias("f")
-    leaders = written(_postings(sets, *_PLACE).where(is_hot).join(hot, "token").groupBy("token").agg(first).select("token", F.col("f.key").alias("y"), F.col("f.at").alias("y_at"), F.col("f.bits").alias("y_bits")))
+    # each task sends one posting of a word, not its whole list; the few words that only look hot go after that
+    first = F.min(F.struct(*_PLACE, "key", "at", *_BITS)).alias("f")
+    leaders = written(_postings(sets, *_PLACE).where(is_hot).groupBy("token").agg(first).join(hot, "token").select("token", F.col("f.key").alias("y"), *(F.col(f"f.{c}").alias(f"y_{c}") for c in ("at", *_BITS))))
     freed(docs.sparkSession)
-    led = _postings(sets).where(is_hot).select("token", F.col("key").alias("x"), F.col("at").alias("x_at"), F.col("bits").alias("x_bits")).join(leaders, "token")
+    led = _postings(sets).where(is_hot).select("token", F.col("key").alias("x"), *(F.col(c).alias(f"x_{c}") for c in ("at", *_BITS))).join(leaders, "token")
     settled = _verified(led.where((F.col("x") != F.col("y")) & _may_match("x_", "y_")), sets, texts)
 
     # the join asks about the others
     posted = _postings(sets.join(settled.withColumn("done", F.lit(True)), "key", "left"), "done")
-    x, y = (posted.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("key", "at", "bits", "done"))).withColumnRenamed("token", f"{side}_token") for side in "xy")
+    x, y = (posted.select("token", *(F.col(c).alias(f"{side}_{c}") for c in ("key", "at", *_BITS, "done"))).withColumnRenamed("token", f"{side}_token") for side in "xy")
     # each pair once, the larger set as x; asked of both sides, so that it is not pushed to one and both read one exchange
     once = (F.col("x_at") >= F.col("y_at")) & (F.col("x_key") != F.col("y_key"))
     asks = F.col("x_done").isNull() | F.col("y_done").isNull()

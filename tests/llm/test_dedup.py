@@ -306,3 +306,23 @@ def test_line_dedup_of_rows_that_repeat_an_id(spark, docs):
 def test_line_dedup_of_odd_rows(spark, odd):
     got = {(r.doc_id, tuple(r.removed)) for r in line_dedup.line_dedup(odd).collect()}
     assert (None, ()) in got and (4, (0,)) in got and (5, (0,)) in got and (1, ()) in got  # a null id comes first
+
+
+def test_long_lines_that_share_common_words_are_not_all_compared(spark, docs, monkeypatch):
+    """160 random lines of 100 to 420 of 1,500 words, with ten near copies: only similar lines are fetched and verified."""
+    draw = random.Random(7)
+    words = [f"w{i}" for i in range(1500)]
+    rows = [(i, " ".join(draw.sample(words, draw.choice([100, 150, 220, 420])))) for i in range(160)]
+    rows += [(160 + i, " ".join([*rows[i][1].split(" ")[6:], "new", "words"])) for i in range(10)]
+    asked = []
+    verified = line_dedup._verified
+
+    def told(pairs, sets, texts):
+        asked.append(pairs.select("x", "y").distinct().count())
+        return verified(pairs, sets, texts)
+
+    monkeypatch.setattr(line_dedup, "_verified", told)
+    got = {r.doc_id: r.removed for r in line_dedup.line_dedup(docs(*rows)).collect()}
+    assert got == plain_line_dedup(rows)
+    assert sum(map(len, got.values())) == 10
+    assert len(asked) == 2 and sum(asked) <= 40
