@@ -10,27 +10,32 @@ all training rows, and so does the attention block: each task trains it in numpy
 the same beginning, and the tasks' weights are averaged by the places they have read. Whole texts are scored in
 overlapping windows, each place once.
 
+Texts are read twice: once for the word counts, once to be turned into numbers, which are written (two bytes each) and
+which pair counts, training and scoring read. Within a block of texts each distinct word is looked up and encoded once.
+
 Null and empty texts consist of the end. Without training rows counts are zero and all estimates uniform. An empty table
 gives no rows.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import kept, parts, slices, utf8
+from ._common import kept, slices, written
 from .attention import NUMBERS, Attention, Trainer, bigram_tables
 from .byte_bpe import MergeReplay
+from .word_bpe import WordMerges
 
-HEAD, BLOCK_BYTES, CACHE_WORDS = 100_000, 4 << 20, 300_000
+#: Text whose words are counted together, and text or numbers that are worked on together.
+HEAD, COUNT_BYTES, BLOCK_BYTES = 100_000, 8 << 20, 4 << 20
 #: In how many parts the tasks' weights are summed.
 PARTS = 16
 END, RARE = 0, NUMBERS - 1
@@ -62,67 +67,117 @@ class Subwords:
         return Reader(self)
 
 
+@dataclass
+class Words:
+    """The words of some texts: each distinct one, which of them follow one another, and how many each text has."""
+
+    distinct: pa.Array
+    codes: np.ndarray
+    sizes: np.ndarray
+
+    @classmethod
+    def of(cls, words: pa.Array, sizes: np.ndarray) -> "Words":
+        coded = words.dictionary_encode()
+        return cls(coded.dictionary.cast(pa.binary()), coded.indices.to_numpy(), sizes)
+
+    @classmethod
+    def split(cls, texts: pa.Array) -> "Words":
+        """A-Z lower-cased, parted by \\x20 and \\x09-\\x0D; null counts as empty."""
+        lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+        found, offsets = lists.flatten(), lists.offsets.to_numpy()
+        real = pc.not_equal(pc.binary_length(found), 0)  # spaces at the ends leave empty words
+        before = np.concatenate([[0], np.cumsum(real.to_numpy(zero_copy_only=False))])
+        return cls.of(found.filter(real), np.diff(before[offsets - offsets[0]]))
+
+    def text(self) -> np.ndarray:
+        """The text of each word."""
+        return np.repeat(np.arange(len(self.sizes)), self.sizes)
+
+
 class Reader:
-    """Turns texts into numbers; each distinct word is encoded once and remembered up to CACHE_WORDS."""
+    """Turns texts into numbers; each distinct word is encoded once."""
 
     def __init__(self, subwords: Subwords):
-        self.subwords, self.replay = subwords, MergeReplay.of(subwords.path, "").replay
-        self._clear()
-
-    def _clear(self) -> None:
-        self.word: dict[bytes, int] = {}
-        self.flat, self.starts, self.sizes, self.extra = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.subwords, self.merges = subwords, WordMerges.of(subwords.path)
 
     def read(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.numbers(Words.of(pa.array(list(chain.from_iterable(texts)), pa.binary()), np.fromiter(map(len, texts), np.int64, len(texts))))
+
+    def numbers(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Numbers of all texts in one array, an end after each; the length of each; and the log-shares of each."""
-        if len(self.word) > CACHE_WORDS:
-            self._clear()
-        new = [w for w in set(chain.from_iterable(texts)) if w not in self.word]
-        if new:
-            ids = self.replay([b" " + w for w in new])
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter(chain.from_iterable(ids), np.int64, int(sizes.sum()))
-            self.word.update(zip(new, range(len(self.word), len(self.word) + len(new)), strict=True))
-            self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes])
-            self.sizes = np.concatenate([self.sizes, sizes])
-            self.extra = np.concatenate([self.extra, np.add.reduceat(self.subwords.share[flat], np.cumsum(sizes) - sizes)])
-            self.flat = np.concatenate([self.flat, self.subwords.number[flat]])
-        n = np.fromiter(map(len, texts), np.int64, len(texts))
-        words = np.fromiter(map(self.word.__getitem__, chain.from_iterable(texts)), np.int64, int(n.sum()))
-        text = np.repeat(np.arange(len(texts)), n)
-        sizes = self.sizes[words]
-        lengths = np.bincount(text, sizes, len(texts)).astype(np.int64) + 1
-        out = np.full(int(lengths.sum()), END, np.int64)
-        place = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        out[np.arange(len(place)) + np.repeat(text, sizes)] = self.flat[np.repeat(self.starts[words], sizes) + place]
-        return out, lengths, np.bincount(text, self.extra[words], len(texts))
+        ids, each = self.merges.encode(words.distinct)
+        starts = np.cumsum(each) - each
+        number, share = self.subwords.number[ids].astype(np.uint16), self.subwords.share[ids]
+        text, sizes = words.text(), each[words.codes]
+        lengths = np.bincount(text, sizes, len(words.sizes)).astype(np.int64) + 1
+        out = np.full(int(lengths.sum()), END, np.uint16)
+        inside = np.ones(len(out), bool)
+        inside[np.cumsum(lengths) - 1] = False
+        at = np.repeat((starts[words.codes] - (np.cumsum(sizes) - sizes)).astype(np.int32), sizes)
+        at += np.arange(len(at), dtype=np.int32)
+        out[inside] = number[at]
+        extra = np.add.reduceat(share, starts) if len(starts) else share
+        return out, lengths, np.bincount(text, extra[words.codes], len(words.sizes)).astype(float)  # of no words they would be whole
 
 
 def _inputs(targets: np.ndarray) -> np.ndarray:
     """The number before each: the end of the text before stands for a text's beginning."""
-    return np.concatenate([[END], targets[:-1]])
+    return np.concatenate([np.full(1, END, targets.dtype), targets[:-1]])
 
 
-def _split(batch: pa.RecordBatch) -> list[list[bytes]]:
-    return [x.lower().split() for x in utf8(batch.column("mr_text"))]
+def _binary(numbers: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """The numbers of each text as two bytes each."""
+    offsets = np.concatenate([[0], 2 * np.cumsum(lengths)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(numbers.astype(np.uint16))])
 
 
-def word_counts(texts: DataFrame, path: str) -> DataFrame:
-    """word, n, ids over the column mr_text: each distinct word, how often it occurs, and its subword ids."""
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows of the column mr_numbers, their numbers in one array, and how many each row has."""
+    for batch in batches:
+        for part in slices(batch, "mr_numbers", BLOCK_BYTES):
+            column = part.column("mr_numbers")
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+            held = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+            yield part, held.view(np.uint16), np.diff(offsets) // 2
+
+
+def numbered(texts: DataFrame, subwords: Subwords) -> DataFrame:
+    """mr_numbers of the column mr_text, or those that the table has."""
+    if "mr_numbers" in texts.columns:
+        return texts.select("mr_numbers")
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = subwords.reader()
+        for batch in batches:
+            for part in slices(batch, "mr_text", BLOCK_BYTES):
+                yield pa.RecordBatch.from_arrays([_binary(*reader.numbers(Words.split(part.column("mr_text")))[:2])], ["mr_numbers"])
+
+    return texts.select("mr_text").mapInArrow(read, "mr_numbers binary")
+
+
+def _counted(texts: DataFrame) -> DataFrame:
+    """word, n over the column mr_text: each distinct word and how often it occurs."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in parts(batches, "mr_text"):
-            seen = Counter(chain.from_iterable(_split(batch)))
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "n"])
+        for batch in batches:
+            for part in slices(batch, "mr_text", COUNT_BYTES):
+                words = Words.split(part.column("mr_text"))
+                yield pa.RecordBatch.from_arrays([words.distinct, pa.array(np.bincount(words.codes, minlength=len(words.distinct)))], ["word", "n"])
+
+    return texts.select("mr_text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_counts(texts: DataFrame, path: str) -> DataFrame:
+    """word, n, ids over the column mr_text: each distinct word, how often it occurs, and its subword ids."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = MergeReplay.of(path, "")
+        own = WordMerges.of(path)
         for batch in batches:
-            ids = own.replay([b" " + w for w in batch.column("word").to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], ["word", "n", "ids"])
+            ids, sizes = own.encode(batch.column("word"))
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*batch.columns, lists], ["word", "n", "ids"])
 
-    counted = texts.select("mr_text").mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return counted.mapInArrow(encode, "word binary, n long, ids array<int>")
+    return _counted(texts).mapInArrow(encode, "word binary, n long, ids array<int>")
 
 
 def _ids(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +197,7 @@ def _summed(words: DataFrame, cells, size: int) -> np.ndarray:
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some].astype(np.int64))], ["cell", "n"])
 
-    return _collected(words.select("n", "ids").mapInArrow(count, "cell long, n long"), size)
+    return _collected(words.mapInArrow(count, "cell long, n long"), size)
 
 
 def _collected(cells: DataFrame, size: int) -> np.ndarray:
@@ -153,29 +208,37 @@ def _collected(cells: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def subword_counts(words: DataFrame, size: int) -> np.ndarray:
-    """How often each id occurs."""
-    return _summed(words, lambda batch: [_ids(batch)[:2]], size)
+def subword_counts(words: DataFrame, size: int, path: str = "") -> np.ndarray:
+    """How often each id occurs. Words without ids are encoded here, not in a worker of their own beside this one."""
+    if "ids" in words.columns:
+        return _summed(words.select("n", "ids"), lambda batch: [_ids(batch)[:2]], size)
+
+    def cells(batch: pa.RecordBatch) -> list[tuple[np.ndarray, np.ndarray]]:
+        ids, sizes = WordMerges.of(path).encode(batch.column("word"))
+        return [(ids, np.repeat(batch.column("n").to_numpy(), sizes))]
+
+    return _summed(words, cells, size)
 
 
 def pair_counts(texts: DataFrame, subwords: Subwords) -> np.ndarray:
     """How often one number follows another, over whole texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader = subwords.reader()
         total = np.zeros(NUMBERS * NUMBERS, np.int64)
-        for batch in batches:
-            for part in slices(batch, "mr_text", BLOCK_BYTES):
-                targets = reader.read(_split(part))[0]
-                total += np.bincount(_inputs(targets) * NUMBERS + targets, minlength=NUMBERS * NUMBERS)
+        for _, targets, _ in _blocks(batches):
+            cells = _inputs(targets).astype(np.int64)
+            cells *= NUMBERS
+            cells += targets
+            total += np.bincount(cells, minlength=NUMBERS * NUMBERS)
+            del cells
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
 
-    return _collected(texts.select("mr_text").mapInArrow(count, "cell long, n long"), NUMBERS * NUMBERS).reshape(NUMBERS, NUMBERS)
+    return _collected(numbered(texts, subwords).mapInArrow(count, "cell long, n long"), NUMBERS * NUMBERS).reshape(NUMBERS, NUMBERS)
 
 
 def trained(texts: DataFrame, subwords: Subwords, pairs: np.ndarray) -> Attention:
-    """The model over the column mr_text: bigram tables from all counts, the attention block from all texts."""
+    """The model over the column mr_text or mr_numbers: bigram tables from all counts, the attention block from all texts."""
     model = Attention(*bigram_tables(pairs, pairs.sum(axis=0)))
     shapes = {k: v.shape for k, v in model.w.items()}
     schema = "part int, places long, weights binary"
@@ -185,11 +248,9 @@ def trained(texts: DataFrame, subwords: Subwords, pairs: np.ndarray) -> Attentio
         return pa.RecordBatch.from_arrays(columns, ["part", "places", "weights"])
 
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reader, trainer = subwords.reader(), Trainer(model)
-        for batch in batches:
-            for part in slices(batch, "mr_text", BLOCK_BYTES):
-                targets = reader.read(_split(part))[0]
-                trainer.add(_inputs(targets), targets)
+        trainer = Trainer(model)
+        for _, targets, _ in _blocks(batches):
+            trainer.add(_inputs(targets), targets)
         trainer.finish()
         weights = np.concatenate([v.ravel() for v in model.w.values()]).astype(np.float64) * trainer.places
         if trainer.places:
@@ -203,7 +264,7 @@ def trained(texts: DataFrame, subwords: Subwords, pairs: np.ndarray) -> Attentio
                 summed[part] = n + places, w + np.frombuffer(weights)
         yield rows(summed)
 
-    found = texts.select("mr_text").mapInArrow(train, schema).repartition("part").mapInArrow(add, schema).orderBy("part").collect()  # PARTS rows
+    found = numbered(texts, subwords).mapInArrow(train, schema).repartition("part").mapInArrow(add, schema).orderBy("part").collect()  # PARTS rows
     if found:
         flat, at = np.concatenate([np.frombuffer(bytes(w)) / places for _, places, w in found]).astype(np.float32), 0
         for k, shape in shapes.items():
@@ -217,53 +278,54 @@ def score(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     """One row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.col(f"`{text_col}`").alias("mr_text"))
     training = rows.where("not held_out")
-    words = kept(word_counts(training, path))
+    words = kept(_counted(training))
     ends = training.count()
     n, v = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     n, v = n + ends, v + (ends > 0)
-    head = words.select("word", "n").orderBy(F.desc("n"), "word").limit(HEAD).toArrow()
-    counts = dict(zip(head.column("word").to_pylist(), head.column("n").to_pylist(), strict=True))
-    subwords = Subwords.of(path, subword_counts(words, len(MergeReplay.of(path, "").token)))
-    model = trained(training, subwords, pair_counts(training, subwords))
-    unknown = float(np.log10(1 / (n + v + 1)))
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("head_known", pa.int64()), ("head_score", pa.float64()), ("score", pa.float64()), ("tail", pa.list_(pa.binary())), ("times", pa.list_(pa.int64()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    head = words.orderBy(F.desc("n"), "word").limit(HEAD).toArrow().combine_chunks()
+    # the last of all is what a word outside the head gets
+    logs = np.append(np.log10((head.column("n").to_numpy() + 1) / (n + v + 1)), 0.0)
+    known = pa.concat_arrays(head.column("word").chunks or [pa.array([], pa.binary())])
+    end, unknown = float(np.log10((ends + 1) / (n + v + 1))), float(np.log10(1 / (n + v + 1)))
+    subwords = Subwords.of(path, subword_counts(words, len(MergeReplay.of(path, "").token), path))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = subwords.reader()
-        logs = {w: (c, float(np.log10((c + 1) / (n + v + 1)))) for w, c in counts.items()}
-        end = float(np.log10((ends + 1) / (n + v + 1)))
         for batch in batches:
             for part in slices(batch, "mr_text", BLOCK_BYTES):
-                texts = _split(part)
-                base = []
-                for tokens in texts:
-                    known, total, tail = int(ends > 0), end, {}
-                    for w, k in Counter(tokens).items():
-                        found = logs.get(w)
-                        if found:
-                            known += k
-                            total += k * found[1]
-                        else:
-                            tail[w] = k
-                    base.append((known, total, list(tail), list(tail.values())))
-                targets, lengths, extra = reader.read(texts)
-                text = np.repeat(np.arange(len(texts)), lengths)
-                sums = extra.astype(float)
-                for places, values in model.score(_inputs(targets), targets, lengths):
-                    sums += np.bincount(text[places], values, len(texts))
+                words = Words.split(part.column("mr_text"))
+                place = pc.fill_null(pc.index_in(words.distinct, value_set=known), len(known)).to_numpy()[words.codes]
+                text, size = words.text(), len(words.sizes)
+                rare = place == len(known)
+                tail, times = np.unique(text[rare] * max(1, len(words.distinct)) + words.codes[rare], return_counts=True)
+                of, word = np.divmod(tail, max(1, len(words.distinct)))
+                offsets = pa.array(np.searchsorted(of, np.arange(size + 1)), pa.int32())
+                numbers, lengths, extra = reader.numbers(words)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        part.column("doc_id"), part.column("held_out"), pa.array([len(t) + 1 for t in texts], pa.int64()), pa.array([b[0] for b in base], pa.int64()), pa.array([b[1] for b in base], pa.float64()),
-                        pa.array(sums / np.log(10)), pa.array([b[2] for b in base], pa.list_(pa.binary())), pa.array([b[3] for b in base], pa.list_(pa.int64())),
+                        part.column("doc_id"), part.column("held_out"), pa.array(words.sizes + 1), pa.array(np.bincount(text[~rare], minlength=size) + int(ends > 0)), pa.array(np.bincount(text, logs[place], size) + end, pa.float64()),
+                        pa.array(extra), _binary(numbers, lengths), pa.ListArray.from_arrays(offsets, words.distinct.take(pa.array(word))), pa.ListArray.from_arrays(offsets, pa.array(times)),
                     ],
-                    schema=schema,
+                    ["doc_id", "held_out", "n_tokens", "head_known", "head_score", "extra", "mr_numbers", "tail", "times"],
                 )
 
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, n_tokens long, head_known long, head_score double, score double, tail array<binary>, times array<long>")
-    scored = kept(scored.withColumn("row", F.monotonically_increasing_id()))
-    tail = scored.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
-    rest = words.select("word", "n")
-    joined = tail.join(rest, "word", "left")
+    found = rows.mapInArrow(read, "doc_id long, held_out boolean, n_tokens long, head_known long, head_score double, extra double, mr_numbers binary, tail array<binary>, times array<long>")
+    found = written(found.withColumn("row", F.monotonically_increasing_id()))
+    training = found.where("not held_out")
+    model = trained(training, subwords, pair_counts(training, subwords))
+    columns = ["row", "doc_id", "held_out", "n_tokens", "head_known", "head_score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, targets, lengths in _blocks(batches):
+            text = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+            sums = part.column("extra").to_numpy().copy()
+            for places, values in model.score(_inputs(targets), targets, lengths):
+                sums += np.bincount(text[places], values, len(lengths))
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), pa.array(sums / np.log(10))], [*columns, "score"])
+
+    scored = kept(found.select(*columns, "extra", "mr_numbers").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, head_known long, head_score double, score double"))
+    tail = found.select("row", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("row", F.col("t.tail").alias("word"), F.col("t.times").alias("times"))
+    joined = tail.join(words, "word", "left")
     added = F.coalesce(F.log10((F.col("n") + 1) / F.lit(float(n + v + 1))), F.lit(unknown)) * F.col("times")
     sums = joined.groupBy("row").agg(F.sum(added).alias("tail_score"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("tail_known"))
     zero = F.lit(0)
